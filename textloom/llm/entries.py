@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import licenses
+from . import decontaminate, licenses, secrets
 
 QUERIES = {
+    "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op8_secret_scan": secrets.op8_secret_scan,
     "op10_license_scan": licenses.op10_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -22,7 +22,7 @@ from .common import table
 #: Of texts in any case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Rare words of a template that the index looks up, and how many of them have to agree on a start.
-RARE, AGREE = 3, 2
+RARE, AGREE = 4, 2
 
 
 @dataclass(frozen=True)
