@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, secrets
+from . import decontaminate, language, licenses, secrets, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_language": language.op2_language,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op10_license_scan": licenses.op10_license_scan,
