@@ -32,6 +32,8 @@ SIZE = 1 << 3 * BITS
 GAPS = [(a, b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a)]
 REACH = WIDTH + SPAN
 LAST_LETTER = 61
+#: Cells in which runs of four letters are counted to find the first witnesses.
+RUNS = 1 << 21
 
 
 @dataclass
@@ -103,7 +105,7 @@ def _cut(s: np.ndarray, at: np.ndarray) -> np.ndarray:
     return s[at[:, None] + np.arange(REACH - 1)]
 
 
-def _separated(s: np.ndarray, value: np.ndarray, most: int) -> list[int]:
+def _separated(value: np.ndarray, most: int) -> list[int]:
     """Places of the largest values, at least WIDTH apart, ties to the first."""
     out: list[int] = []
     for k in np.argsort(-value, kind="stable")[: 40 * most].tolist():
@@ -116,21 +118,24 @@ def _separated(s: np.ndarray, value: np.ndarray, most: int) -> list[int]:
 
 def _first_witnesses(streams_of: list[np.ndarray], toxic: np.ndarray) -> list[list[int]]:
     """Places of the letter runs of four that most tell toxic texts from clean ones."""
-    counts = np.zeros((2, 1 << 4 * BITS), np.int32)
-    codes = []
-    for s, y in zip(streams_of, toxic, strict=True):
+    counts = np.zeros((2, RUNS), np.int32)
+
+    def runs(s: np.ndarray) -> np.ndarray:
         x = s.astype(np.int32)
         n = max(0, len(x) - 3)
         c = (x[:n] << 18) | (x[1 : n + 1] << 12) | (x[2 : n + 2] << 6) | x[3 : n + 3]
         ok = np.logical_and.reduce([(x[k : n + k] > SPACE) & (x[k : n + k] <= LAST_LETTER) for k in range(4)])
-        codes.append(np.where(ok, c, 0))
-        counts[int(y), np.unique(codes[-1])] += 1
+        return np.where(ok, (c * np.int64(0x9E3779B1) >> 8) % (RUNS - 1) + 1, 0)
+
+    for s, y in zip(streams_of, toxic, strict=True):
+        counts[int(y), np.unique(runs(s))] += 1
     n1, n0 = toxic.sum(), (~toxic).sum()
     odds = lambda c: np.log((counts[1, c] + 0.5) / (n1 + 1)) - np.log((counts[0, c] + 0.5) / (n0 + 1))
     out = []
-    for c, y in zip(codes, toxic, strict=True):
-        value = np.where((c > 0) & (counts[1, c] >= 3), odds(c), -1.0) if y else np.zeros(0)
-        out.append([k for k in _separated(c, value, WITNESSES) if value[k] > 1])
+    for s, y in zip(streams_of, toxic, strict=True):
+        c = runs(s) if y else np.zeros(0, np.int64)
+        value = np.where((c > 0) & (counts[1, c] >= 3), odds(c), -1.0)
+        out.append([k for k in _separated(value, WITNESSES) if value[k] > 1])
     return out
 
 
@@ -151,7 +156,7 @@ def _landmarks(w: Windows, m: int) -> list[int]:
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, regular: float) -> np.ndarray:
     """Linear SVM with squared hinge loss by Newton's method; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], regular)
     ridge[-1] = 1e-8
@@ -165,7 +170,8 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, regular: float) -> np
         on = m > 0
         xa, wa = x[on], weight[on]
         gradient = ridge * w - 2 * xa.T @ (wa * y[on] * m[on])
-        step = np.linalg.solve(np.diag(ridge + 1e-10) + 2 * (xa.T * wa) @ xa, gradient)
+        xa *= np.sqrt(wa * 2)[:, None].astype(x.dtype)
+        step = np.linalg.solve(np.diag(ridge + 1e-10) + (xa.T @ xa).astype(float), gradient)
         t, now = 1.0, loss(w)
         while loss(w - t * step) > now and t > 1e-4:
             t /= 2
@@ -203,24 +209,33 @@ def train(texts: list[str], toxic: list[bool], landmarks: int = LANDMARKS, round
         back = np.sort(rng.permutation(len(others))[:4000])
         back = others[back] if not hard else np.concatenate(hard)[:4000]
         clean_marks = Windows(back[_landmarks(Windows(back), landmarks // 4)])
-        basis = np.stack([w.dense(k) for w in (marks, clean_marks) for k in range(len(w.codes))])
-        k_pos, k_neg = (np.stack([w.against(v) for v in basis], 1).astype(float) for w in (pos, neg))
-        gram = (basis @ basis.T).astype(float)
+        basis = [(w, k) for w in (marks, clean_marks) for k in range(len(w.codes))]
+        k_pos, k_neg = (np.empty((len(r), len(basis)), np.float32) for r in (rows, others))
+        gram = np.empty((len(basis), len(basis)))
+        for j, (w, k) in enumerate(basis):
+            one = w.dense(k)
+            k_pos[:, j], k_neg[:, j] = pos.against(one), neg.against(one)
+            gram[:, j] = np.concatenate([marks.against(one), clean_marks.against(one)])
+        gram = (gram + gram.T) / 2
         values, vectors = np.linalg.eigh(gram)
         keep = values > 1e-6 * values[-1]
         root = vectors[:, keep] / np.sqrt(values[keep])
         scale = np.sqrt(np.trace(gram) / len(gram))
-        x = np.vstack([k_pos @ root, k_neg @ root]) / scale
-        label = np.r_[np.ones(len(k_pos)), -np.ones(len(k_neg))]
-        weight = np.r_[n / n.sum(), np.full(len(k_neg), 1 / len(k_neg))]
+        x = np.vstack([k_pos, k_neg]) @ (root / scale).astype(np.float32)
+        del k_pos, k_neg
+        label = np.r_[np.ones(len(rows)), -np.ones(len(others))]
+        weight = np.r_[n / n.sum(), np.full(len(others), 1 / len(others))]
         w = _svm(x, label, weight, REGULAR)
-        flat = (basis.T @ (root @ w[:-1]).astype(np.float32)) / np.float32(scale)
+        flat = np.zeros(SIZE)
+        for a, (m, k) in zip(root @ w[:-1] / scale, basis, strict=True):
+            flat += a * m.dense(k)
+        flat = flat.astype(np.float32)
         weights = np.stack([flat * np.float32(DECAY**s) if s >= 3 else np.zeros(SIZE, np.float32) for s in range(SPAN + 1)])
         model = Model(weights, float(w[-1]), 1.0, 0.0)
         positive, found = [], []
         for k in fitted:
             value = best_windows(model, seen[k]) + model.bias
-            best = _separated(seen[k], value, WITNESSES if y[k] else CLEAN_WINDOWS)
+            best = _separated(value, WITNESSES if y[k] else CLEAN_WINDOWS)
             if y[k]:
                 positive.append(_cut(seen[k], np.array([b for j, b in enumerate(best) if not j or value[b] > 0])))
             else:
