@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, mixing, secrets, toxicity
+from . import decontaminate, language, licenses, mixing, secrets, token_store, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_language": language.op2_language,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op6_token_output": token_store.op6_token_output,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op10_license_scan": licenses.op10_license_scan,
