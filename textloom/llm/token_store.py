@@ -41,7 +41,8 @@ FOOTER = struct.Struct("<QIQQ8s")  # length of the table with its head, CRC-32,
 FRAME_BYTES, FILE_IDS = 1 << 18, 1 << 26
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 #: Words whose ids a task remembers; past this many it forgets them all and starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+PUNCTUATION = ".,;:!?"
 
 
 def store(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -149,31 +150,47 @@ def _words(text: str) -> list[str]:
     return text.split(" ")
 
 
-class Encoder:
+#: How byte-level vocabularies write bytes that aren't printable characters: as the characters from 256 on.
+BYTES = dict(zip((k for k in range(256) if not (33 <= k <= 126 or 161 <= k <= 172 or 174 <= k)), range(256, 512), strict=False))
+
+
+class Encoder(dict):
     """Encodes texts word by word: the tokenizer drops white space and no token or rule of it spans any,
     so a text's ids are those of its words, and a word is encoded by the library once and remembered.
 
     Only white space that all of its rules agree on ends a word here; the rest is left to the library.
+    Neither normalising nor splitting changes a word of Latin-1 letters besides lower case, so the
+    library's model gets it directly; punctuation after a letter begins a token of its own.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.model = self.of.model
+        self[""] = b""
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(PUNCTUATION)
+        if core is not word and len(core) < len(word) and core[-1:].isalpha():
+            ids = self[core] + self[word[len(core) :]]
+        elif word.isalpha() and word.isascii() or word.isalpha() and max(word) < "\u0100":
+            low = word.lower()
+            if low != word:
+                ids = self[low]
+            else:
+                units = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
+                ids = np.array([t.id for t in self.model.tokenize(units)], "<u4").tobytes()
+        else:
+            ids = np.array(self.of.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [_words(t) for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list({w for ws in words for w in ws})
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            for w, e in zip(part, self.of.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        if len(self) > REMEMBERED:
+            self.clear()
+            self[""] = b""
+        return [b"".join(map(self.__getitem__, _words(t))) for t in texts]
 
 
 def tokens(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
