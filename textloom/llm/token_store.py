@@ -17,12 +17,12 @@ is repeated, or runs twice, leaves one whole file.
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -193,47 +193,35 @@ class Encoder(dict):
         return [b"".join(map(self.__getitem__, _words(t))) for t in texts]
 
 
-def tokens(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id and `ids`: little-endian unsigned 32-bit integers, with the end id (packed by zstandard, for the shuffle)."""
-    end = struct.pack("<I", end_id)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pack = Encoder(vocabulary), zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            at = 0
-            while at < len(texts):  # in steps of bounded size
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size + len(texts[upto]) < 4_000_000):
-                    size += len(texts[upto])
-                    upto += 1
-                ids = [x + end for x in encoder.encode(texts[at:upto])]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, upto - at), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([pack.compress(x) for x in ids], pa.binary())], ["doc_id", "n", "ids"])
-                at = upto
-
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
+@cache
+def encoder(vocabulary: str) -> Encoder:
+    """One for a worker process, whichever tasks it runs."""
+    return Encoder(vocabulary)
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, files: int | None = None) -> DataFrame:
     """Writes the ids of all documents in ascending doc_id order; returns a row for each file: part, path, docs, ids.
 
-    A null id comes first, a null text is empty (its only id is the end id), and rows of one id keep the
-    order of their ids' bytes. An empty table gives no file.
+    A null id comes first, a null text is empty (its only id is the end id), and rows of one id are in
+    the order of their texts. An empty table gives no file. Texts are dealt by range and encoded by the
+    task that writes them, since a range exchange runs what is below it twice.
     """
     spark = docs.sparkSession
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = tokens(docs, vocabulary, end_id).repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
-    ordered = spread.withColumn("_part", F.spark_partition_id()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    spread = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ordered = spread.withColumn("_part", F.spark_partition_id()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, path, part, ids = None, "", 0, 0
-        unpack = zstandard.ZstdDecompressor()
+        writer, path, part, ids, encode = None, "", 0, 0, encoder(vocabulary).encode
         for b in batches:
-            for doc_id, p, x in zip(b.column("doc_id").to_pylist(), b.column("_part").to_pylist(), b.column("ids"), strict=True):
-                if writer is None:
-                    part, path = p, f"{folder}/tokens-{p:06d}.tlt"
-                    writer = Writer(path)
-                plain = unpack.decompress(x.as_py())
+            if writer is None:
+                part = b.column("_part")[0].as_py()
+                path = f"{folder}/tokens-{part:06d}.tlt"
+                writer = Writer(path)
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                plain = encode([text.as_py()])[0] + end
                 ids += len(plain) // 4
                 writer.add(doc_id, plain)
         if writer:
