@@ -1,11 +1,71 @@
-"""The corpus pipeline: stages that each turn a table of documents into the next."""
+"""The corpus pipeline: toxicity, near duplicates, benchmark leaks, mixing, token ids.
 
-STAGES: list = []
+Each stage takes the documents that the one before it kept and returns a table with the columns of
+documents; the last one returns a row for each document of the files that it wrote.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.llm import decontaminate, jaccard, mixing, token_store, toxicity
+from textloom.llm.common import NULL_ID, cut, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator doesn't reject; it learns from the labels of documents."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, tuple(docs.columns), text_column="text").where("predicted = 0").drop("score", "predicted")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of five-word-shingle similarity 0.8 the document of the smallest id; of rows of that id the first text."""
+    found = jaccard.join(docs, 5, jaccard.Threshold(80, 100))
+    kept = found.where("id = component").select("id").distinct()
+    named = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NULL_ID))).join(kept, F.col("_id") == F.col("id"), "left_semi")
+    return _one_row_each(named).select(docs.columns)
+
+
+def _one_row_each(rows: DataFrame) -> DataFrame:
+    """Ids that repeat are few; only their texts are compared."""
+    several = cut(rows.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id"), "repeated-ids")
+    if several.isEmpty():
+        return rows
+    others = [c for c in rows.columns if c != "_id"]
+    first = rows.join(several, "_id", "left_semi").groupBy("_id").agg(F.min(F.struct("text", *(c for c in others if c != "text"))).alias("x")).select("_id", "x.*").select(rows.columns)
+    return rows.join(several, "_id", "left_anti").unionByName(first)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns)).where(F.size("hits") == 0).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixing.take(docs).select(docs.columns)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32, read back from the files."""
+    return token_store.stored(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_copies),
+    ("decontaminate", drop_leaks),
+    ("mix_sources", mix_sources),
+    ("token_output", write_tokens),
+]
+#: Models and a tokenizer aren't SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each is written to the shared folder before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

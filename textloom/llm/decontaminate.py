@@ -124,15 +124,17 @@ def _blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[Items]:
         yield Items(rows, window)
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, `hits` (merged word spans, end exclusive) and `items` (ids as strings, sorted as such).
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns (`doc_id` among them), n_words, `hits` (merged word spans, end exclusive) and `items` (ids as strings, sorted as such).
 
     A window is `window` consecutive words of an item, or the whole item if it has fewer. A null or
     empty text has no words, hits or items; items of no words and items without an id take no part; an
     id that repeats counts once. Rows that repeat give results that repeat; other columns are ignored.
     """
-    spark, schema = docs.sparkSession, "doc_id long, n_words long, hits array<struct<start: long, end: long>>, items array<string>"
-    read = with_text(docs, "doc_id")
+    spark = docs.sparkSession
+    own = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.select(*keep).schema)
+    schema = own + ", n_words long, hits array<struct<start: long, end: long>>, items array<string>"
+    read = with_text(docs, *keep)
     parts = []
     for block in _blocks(items, window, block_bytes):
         all_of = spark.sparkContext.broadcast(block)
@@ -156,26 +158,26 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
                 out["n_words"].append(len(w))
                 out["hits"].append([{"start": s, "end": e} for s, e in _merged(spans)])
                 out["items"].append(sorted(names))
-            return out | {"doc_id": b["doc_id"]}
+            return {c: b[c] for c in keep} | out
 
         parts.append((join, index))
     if not parts:
         empty = Items([], window)
         empty.index({})
-        nothing = lambda b: {"doc_id": b["doc_id"], "n_words": [len(words_of(t.as_py())) for t in b["_text"]], "hits": [[] for _ in b["_text"]], "items": [[] for _ in b["_text"]]}
+        nothing = lambda b: {c: b[c] for c in keep} | {"n_words": [len(words_of(t.as_py())) for t in b["_text"]], "hits": [[] for _ in b["_text"]], "items": [[] for _ in b["_text"]]}
         return map_batches(read, nothing, schema)
     if len(parts) == 1:
         return map_batches(read, parts[0][0], schema)
     #: Several blocks: what each finds in a document meets again by the document's id and text.
     keyed = [map_batches(read, _with_digest(f), schema + ", _digest string") for f, _ in parts]
     every = reduce(DataFrame.unionByName, [k.where(F.size("hits") > 0) for k in keyed]).groupBy("doc_id", "_digest").agg(F.flatten(F.collect_set("hits")).alias("_hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items"))
-    first = keyed[0].select("doc_id", "_digest", "n_words").alias("a")
+    first = keyed[0].drop("hits", "items").alias("a")
     every = every.alias("b")
-    met = first.join(every, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._digest") == F.col("b._digest")), "left").select("a.doc_id", "n_words", "_hits", "_items")
+    met = first.join(every, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._digest") == F.col("b._digest")), "left").select(*(f"a.{c}" for c in keep), "n_words", "_hits", "_items")
 
     def merge(b: dict) -> dict:
         hits = [[{"start": s, "end": e} for s, e in _merged(sorted((h["start"], h["end"]) for h in x or []))] for x in b["_hits"].to_pylist()]
-        return {"doc_id": b["doc_id"], "n_words": b["n_words"], "hits": hits, "items": [x or [] for x in b["_items"].to_pylist()]}
+        return {c: b[c] for c in keep} | {"n_words": b["n_words"], "hits": hits, "items": [x or [] for x in b["_items"].to_pylist()]}
 
     return map_batches(met, merge, schema)
 

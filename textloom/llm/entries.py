@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, licenses, mixing, neighbours, secrets, token_store, toxicity
+from . import decontaminate, jaccard, language, licenses, mixing, neighbours, repeats, secrets, token_store, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_token_output": token_store.op6_token_output,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_secret_scan": secrets.op8_secret_scan,
+    "op9_remove_repeats": repeats.op9_remove_repeats,
     "op10_license_scan": licenses.op10_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {}

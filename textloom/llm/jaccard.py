@@ -6,8 +6,8 @@ Jaccard distance is a metric. Regions are made in three steps, all of them lossl
    Voronoi intervals, and a document whose partners may lie in the next interval is replicated there.
 2. By trace. Two linked sets of sizes up to y differ in at most D = y * 2 (1 - t) / (1 + t) shingles. The
    shingles are dealt to D + 1 facets; in one of them the traces of both sets are equal, at distance 0.
-   A trace is the pivot of the region of all documents that have it. An empty trace says little; documents
-   that share one are dealt anew with other facets, recursively.
+   A trace is the pivot of the region of all documents that have it. A few more facets make up for empty
+   ones; sets with more empty facets than that are dealt anew with other facets, recursively.
 3. By documents. In a region of several different sets the smallest print is the pivot. All others are
    verified against it, exactly. What is linked to one pivot is one component already; for the rest the
    triangle inequality leaves only pairs whose distances to a common pivot differ by at most 1 - t, which
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from .common import NULL_ID, cut, table
 from .components import components
 from .shingles import mix, shingle_sets
 
-BAND_RATIO, DEPTH, PIVOTS, GROWTH = 1.3, 6, 4, 4
+BAND_RATIO, DEPTH, PIVOTS, GROWTH = 1.5, 6, 4, 4
 #: Bits of the filter of documents whose sets are needed again; its size doesn't grow with the data.
 FILTER_BITS = 1 << 24
 #: Sets that a task remembers to have dealt, so that copies of one text are dealt once.
@@ -60,22 +61,41 @@ def bands(upto: int) -> list[int]:
     return out
 
 
-def _traces(x: np.ndarray, k: int, seed: int, tag: int, depth: int) -> list[np.ndarray]:
-    """Keys of the traces of a set in k facets; empty ones come as keys of the set dealt anew."""
-    with np.errstate(over="ignore"):
-        facet = ((mix(x, seed) >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-        order = np.argsort(facet, kind="stable")
-        held, first = np.unique(facet[order], return_index=True)
-        sums = np.add.reduceat(mix(x, seed + 1)[order], first)
-        where = mix(np.array([tag], np.uint64), seed + 2)[0]
-        out = [mix(sums ^ (mix(held, seed + 3) + where), seed)]
-        if len(held) < k:
-            for i in np.setdiff1d(np.arange(k, dtype=np.uint64), held):
-                inner = int((where + mix(np.array([i], np.uint64), seed + 5)[0]) & np.uint64(2**63 - 1))
-                if depth:
-                    out += _traces(x, k, seed + 10, inner, depth - 1)
-                else:
-                    out.append(np.array([inner], np.uint64))
+@cache
+def facets(t: Threshold, start: int, end: int) -> tuple[int, int]:
+    """How many facets sets of the size interval [start, end) are dealt to, and how many may be empty.
+
+    Of D + 1 + c facets, at least one more than c holds no difference; if c is at least the number of a
+    set's empty facets, one that isn't empty is among them. c is a little over what chance leaves empty.
+    """
+    differ, least = t.differ(end - 1), max(1, start * t.at // t.of)
+    k, c = differ + 1, 0
+    for _ in range(50):
+        mean = k * np.exp(-least / k) if k > 1 else 0.0
+        c = int(mean + 3 * np.sqrt(mean))
+        if differ + 1 + c == k:
+            break
+        k = differ + 1 + c
+    return k, k - differ - 1
+
+
+def _traces(x: np.ndarray, k: int, empty: int, band: int) -> list[np.ndarray]:
+    """Keys of the traces of a set in k facets. With more empty facets than allowed for, the set is dealt
+    once more with other facets, as is any set like it; at the last level empty traces are keys too."""
+    out = []
+    for level in range(DEPTH):
+        seed = 100 + 10 * level
+        with np.errstate(over="ignore"):
+            facet = ((mix(x, seed) >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
+            order = np.argsort(facet, kind="stable")
+            held, first = np.unique(facet[order], return_index=True)
+            sums = np.add.reduceat(mix(x, seed + 1)[order], first)
+            where = mix(np.array([band], np.uint64), seed + 2)[0]
+            out.append(mix(sums ^ (mix(held, seed + 3) + where), seed))
+            if k - len(held) <= empty:
+                break
+            if level == DEPTH - 1:
+                out.append(mix(np.setdiff1d(np.arange(k, dtype=np.uint64), held), seed + 5) + where)
     return out
 
 
@@ -84,7 +104,7 @@ def keys(x: np.ndarray, t: Threshold, edges: np.ndarray) -> np.ndarray:
     n = len(x)
     home = int(np.searchsorted(edges, n, "right")) - 1
     last = int(np.searchsorted(edges, t.partner(n), "right")) - 1
-    return np.concatenate([y for b in range(home, last + 1) for y in _traces(x, t.differ(int(edges[b + 1]) - 1) + 1, 100, b, DEPTH)])
+    return np.concatenate([y for b in range(home, last + 1) for y in _traces(x, *facets(t, int(edges[b]), int(edges[b + 1])), b)])
 
 
 def _signature(x: np.ndarray) -> tuple[int, int]:

@@ -100,21 +100,39 @@ def _with_state(rows: DataFrame, state: DataFrame) -> DataFrame:
     return rows.join(state.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
 
+def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """A row for each source: source, source_size, target, `_cut` and `_last`; what copies() needs besides a document."""
+    sized = cut(_sized(docs), "mixing-sizes")
+    shares = cut(targets(sized, weights, cap), "mixing-targets")
+    at = cut(cuts(ranked(sized, shares, seed)), "mixing-ends").withColumnRenamed("source", "_s")
+    return cut(shares.join(at, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "mixing-plan")
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_digest"))
+
+
+def _copies(rows: DataFrame, cap: float) -> DataFrame:
+    last = (F.col("_rank") == F.col("_last.rank")) & (F.col("size") == F.col("_last.size"))
+    more = F.when((F.col("_rank") < F.col("_cut")) | last, 1).otherwise(0)
+    return rows.withColumn("copies", F.least(F.col("_whole") + more, F.lit(int(cap)).cast("long")))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """doc_id, `_digest`, source, size, source_size, target and copies (0 to `cap`) for every row.
+    """doc_id, source, size, source_size, target and copies (0 to `cap`) for every row.
 
     Sizes are words; a null or empty text has none and is never taken beyond the whole copies. A null
     source is a source of its own, after the others. Rows of one id and text share their rank, so they
     are taken together; reruns agree, whatever the partitions. Other columns are ignored.
     """
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_digest"))
-    sized = cut(sized, "mixing-sizes")
-    rows = ranked(sized, cut(targets(sized, weights, cap), "mixing-targets"), seed)
-    at = cuts(rows).withColumnRenamed("source", "_s")
-    taken = rows.join(at, F.col("source").eqNullSafe(F.col("_s")), "left")
-    last = (F.col("_rank") == F.col("_last.rank")) & (F.col("size") == F.col("_last.size"))
-    more = F.when((F.col("_rank") < F.col("_cut")) | last, 1).otherwise(0)
-    return taken.select("doc_id", "_digest", "source", "size", "source_size", "target", F.least(F.col("_whole") + more, F.lit(int(cap)).cast("long")).alias("copies"))
+    return _copies(ranked(_sized(docs), plan(docs, weights, cap, seed), seed), cap).select("doc_id", "source", "size", "source_size", "target", "copies")
+
+
+def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """The rows of docs, each as often as mix() takes it; nothing but the sources' plan is joined to them."""
+    own = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_digest"))
+    rows = _copies(ranked(own, plan(docs, weights, cap, seed), seed), cap).where("copies > 0")
+    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -282,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     return train(*sample(docs, labels))
 
 
-def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
     """The kept columns with score (0 to 1) and predicted (1 from THRESHOLD on).
 
     A null or empty text scores as a window of no letters. Repeated rows give repeated results.
@@ -296,7 +296,7 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id
         s = scores(shared.value, b[text].to_pylist())
         return {x.name: b[x.name] for x in extra} | {"score": s, "predicted": (s >= THRESHOLD).astype(np.int32)}
 
-    return map_batches(docs.select(*keep, F.col("text").alias(text)), run, schema)
+    return map_batches(docs.select(*keep, F.col(text_column).alias(text)), run, schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
