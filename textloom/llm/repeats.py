@@ -176,7 +176,7 @@ def _edges(marks: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     held = cut(held, "repeats-around")
 
     def spans(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        rows.sort(key=lambda r: r[1:4])
+        rows = sorted(dict.fromkeys(rows), key=lambda r: r[1:4])  # a row that repeats isn't an earlier document
         out = [(r[1], r[2], r[3] + s, r[3] + e) for r, starts in zip(rows, previous_factors([r[4] for r in rows], least), strict=True) for s, e in _runs(starts, least)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["id", "dig", "s", "e"])
