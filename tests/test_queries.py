@@ -54,3 +54,21 @@ def test_blocks():
     kinds = [k for k, _ in blocks.weld(blocks.parse("# H\n\npara\n\n```\n# no\n```\n\n![x](y.png)\n\nFigure 1: z\n\n- a\n  b\n- c\n\n> q\n\n| a | b |\n|---|---|"))]
     assert kinds == ["heading", "paragraph", "code_block", "figure", "list", "blockquote", "table"]
     assert blocks.pack([("heading", "# a"), ("paragraph", "x" * 70), ("heading", "# b"), ("paragraph", "y")], 100) == ["# a\n\n" + "x" * 70, "# b\n\ny"]
+
+
+def test_references():
+    from textloom.operators.references import bibliography, common_run
+
+    doc = ["Prose here.", "# References", "[1] A. Author. Title. 1999.", "[2] B. Writer. Book. 2001.", "continued", "[3] C. Else. 2020.", "More prose in 1984 here."]
+    assert bibliography(doc) == [False, False, True, True, True, True, False]
+    assert bibliography(["Smith, J. said in 1990 so", "no", "no", "no", "no"]) == [False] * 5
+    assert common_run("Accuracy of the model", "the model OF the model x") == 3
+
+
+def test_roman(spark):
+    from pyspark.sql import functions as F
+
+    from textloom.functions.text import roman
+
+    got = [r[0] for r in spark.range(1, 2025).select(roman(F.col("id"))).collect()]
+    assert [got[k - 1] for k in (1, 4, 9, 14, 40, 90, 400, 1994, 2024)] == ["I", "IV", "IX", "XIV", "XL", "XC", "CD", "MCMXCIV", "MMXXIV"]

@@ -421,3 +421,5 @@ def stream_dedup(spark, sf):
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def events_tumbling(spark, sf):
     return journal.drained(journal.tumbling(journal.events(spark, sf)), "events_tumbling", "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+from . import references as _references  # noqa: E402,F401  adds its queries
