@@ -15,18 +15,19 @@ def components(edges: DataFrame) -> DataFrame:
     so a node may have any number of edges. Every step is written to the shared folder.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    if now.isEmpty():
-        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    while True:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        new = cut(small, "edges")
-        # settled once every node has one edge, to a node that has none itself
-        state = new.groupBy("a").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"]
-        if state == 1 and new.alias("x").join(new.alias("y"), F.col("x.b") == F.col("y.a"), "left_semi").isEmpty():
-            return new.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(new.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        now = new
+        now = cut(small, "edges")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has at most one edge to a smaller node, which has none itself."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    per = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()

@@ -32,7 +32,7 @@ from .common import NULL_ID, cut, table
 from .components import components
 from .shingles import mix, shingle_sets
 
-BAND_RATIO, DEPTH, PIVOTS, GROWTH = 1.5, 6, 4, 4
+BAND_RATIO, DEPTH, PIVOTS, GROWTH = 1.5, 6, 2, 4
 #: Bits of the filter of documents whose sets are needed again; its size doesn't grow with the data.
 FILTER_BITS = 1 << 24
 #: Sets that a task remembers to have dealt, so that copies of one text are dealt once.
@@ -220,7 +220,7 @@ def join(docs: DataFrame, words: int = 5, t: Threshold = Threshold(80, 100)) ->
         named = members.select("c", "s1", "s2").distinct()
         again = sets_of(docs, named.select(F.col("c").alias("id")), words)
         sets = cut(named.join(again.withColumnRenamed("id", "c"), ["c", "s1", "s2"]).dropDuplicates(["c", "s1", "s2"]).select("c", "set"), "jaccard-sets")
-        links += _pivoted(members.select("key", "c").distinct(), sets, t)
+        links.append(_pivoted(members.select("key", "c").distinct(), sets, t))
     found = components(_union(links)).where("node <> component")
     to = classes.join(found, classes["c"] == found["node"], "left").where("c <> last OR component IS NOT NULL").select("n", "s1", "s2", F.coalesce("component", "c").alias("component"))
     return signed.join(to, ["n", "s1", "s2"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
@@ -243,19 +243,23 @@ def _members(dealt: DataFrame, classes: DataFrame) -> DataFrame:
     return cut(met.join(one, "key", "left_semi").join(classes.select("s1", "s2", "c"), "s1").select("key", "c", "s1", "s2"), "jaccard-members")
 
 
-def _pivoted(members: DataFrame, sets: DataFrame, t: Threshold) -> list[DataFrame]:
-    """Links that connect whatever the regions' links connect.
+def _pivoted(members: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """Links a, b that connect whatever the regions' links connect.
 
     A pair is settled once one of it was a pivot, both are in one component, or their distances to the
     region's first pivot tell them apart. Each round takes new pivots in the regions that are open still.
+    Pivots are those that share most regions with most others: the text that a group of near copies was
+    made from is in all of the group's large regions, and links copies that don't link with each other.
     """
     window = (t.of - t.at) / t.of + 1e-9
     links: list[DataFrame] = []
     done: list[DataFrame] = []
-    state = members.select("key", "c", F.col("c").alias("component"), F.lit(None).cast("double").alias("far"), F.lit(False).alias("was"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    degrees = cut(members.join(sizes, "key").groupBy("c").agg(F.sum("n").alias("degree")), "jaccard-degrees")
+    state = members.join(degrees, "c").select("key", "c", "degree", F.col("c").alias("component"), F.lit(None).cast("double").alias("far"), F.lit(False).alias("was"))
     pivots = PIVOTS
     while True:
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("was", F.xxhash64("c")))
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("was", F.desc("degree"), F.xxhash64("c")))
         state = state.withColumn("r", rank).withColumn("now", ~F.col("was") & (F.col("r") <= pivots))
         chosen = state.where("now").select("key", F.col("c").alias("p"), F.col("component").alias("pc"), F.col("far").alias("pfar"), F.col("r").alias("pr"))
         met = state.join(chosen, "key").where(F.col("c") != F.col("p"))
@@ -267,16 +271,17 @@ def _pivoted(members: DataFrame, sets: DataFrame, t: Threshold) -> list[DataFram
         links.append(seen.where(F.col("inter") * t.of >= F.col("uni") * t.at).select("a", "b"))
         done.append(seen.select("a", "b"))
         parts = components(_union(links)).withColumnRenamed("node", "c").withColumnRenamed("component", "found")
+        links = [parts.select(F.col("c").alias("a"), F.col("found").alias("b"))]
         if len(done) == 1:  # distances to the first pivot
             first = met.where("pr = 1").select("key", "c", F.greatest("c", "p").alias("a"), F.least("c", "p").alias("b"))
             first = first.join(seen, ["a", "b"]).select("key", "c", (1 - F.col("inter") / F.col("uni")).alias("d"))
             state = state.drop("far").join(first.withColumnRenamed("d", "far"), ["key", "c"], "left")
-        state = state.join(parts, "c", "left").select("key", "c", F.coalesce("found", "c").alias("component"), "far", (F.col("was") | F.col("now")).alias("was"))
+        state = state.join(parts, "c", "left").select("key", "c", "degree", F.coalesce("found", "c").alias("component"), "far", (F.col("was") | F.col("now")).alias("was"))
         free = F.when(~F.col("was"), F.col("component"))
         open_ = state.groupBy("key").agg(F.min(free).alias("lo"), F.max(free).alias("hi")).where("lo <> hi").select("key")
         state = cut(state.join(open_, "key", "left_semi"), "jaccard-open")
         if state.isEmpty():
-            return links
+            return parts.select(F.col("c").alias("a"), F.col("found").alias("b"))
         pivots *= GROWTH
 
 
