@@ -64,3 +64,12 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(160, 100), (7, 7), (500, 499)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 161)} | {499: 499, 500: 499}
+
+
+def test_star_of_copies(spark):
+    """Copies that link only with the text they were made from, whose id is the largest."""
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join([*base[: 4 + k], "x", *base[5 + k :]])) for k in range(0, 100, 2)] + [(900, " ".join(base))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    t = Threshold(95, 100)
+    assert sorted(map(tuple, join(df, 3, t).collect())) == brute(rows, 3, t)
