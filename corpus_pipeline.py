@@ -6,12 +6,17 @@ documents; the last one returns a row for each document of the files that it wro
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, jaccard, mixing, token_store, toxicity
 from textloom.llm.common import NULL_ID, cut, table
 
+#: Words of a shingle, and the columns that tell a set of shingles.
+WORDS, SET = 5, ["n", "s1", "s2"]
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator doesn't reject; it learns from the labels of documents."""
@@ -20,11 +25,35 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of five-word-shingle similarity 0.8 the document of the smallest id; of rows of that id the first text."""
-    found = jaccard.join(docs, 5, jaccard.Threshold(80, 100))
-    kept = found.where("id = component").select("id").distinct()
-    named = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NULL_ID))).join(kept, F.col("_id") == F.col("id"), "left_semi")
-    return _one_row_each(named).select(docs.columns)
+    """Of each group of five-word-shingle similarity 0.8 one row: the first text of the smallest id that names one set.
+
+    An id that rows of different sets share, as null mostly is, says nothing about their texts; a group of
+    such rows only keeps the first text of one of its sets. Empty sets are in no group: they stay, but for
+    those of one id that isn't null, of which the first stays.
+    """
+    signed, shared, to = jaccard.linked(docs, WORDS, jaccard.Threshold(80, 100))
+    found = signed.join(to, SET, "left").select("id", F.coalesce("component", "id").alias("component"))
+    kept = found.where("id = component").select(F.col("id").alias("_kept")).distinct()
+    named = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    if shared.isEmpty():
+        return _one_row_each(named.join(kept, F.col("_id") == F.col("_kept"), "left_semi")).select(docs.columns)
+    shared = cut(shared.withColumnRenamed("id", "_shared"), "shared-ids")
+    nulls = not shared.where(F.col("_shared") == NULL_ID).isEmpty()
+    rest, null = (named.where("doc_id IS NOT NULL"), named.where("doc_id IS NULL")) if nulls else (named, named.limit(0))
+    kept = kept.join(shared, F.col("_kept") == F.col("_shared"), "left_anti")
+    alone = _one_row_each(rest.join(kept, F.col("_id") == F.col("_kept"), "left_semi"))
+    apart = null.unionByName(rest.join(shared, F.col("_id") == F.col("_shared"), "left_semi"))
+    apart = cut(jaccard.signed_rows(apart.withColumn("_text", F.coalesce("text", F.lit("")).cast("binary")), WORDS, ("_n", "_s1", "_s2")), "shared-rows")
+    lead = to.where("lead").select(*(F.col(c).alias(f"_{c}") for c in SET))
+    first = _first(apart.join(lead, ["_n", "_s1", "_s2"], "left_semi"), ["_n", "_s1", "_s2"])
+    empty = apart.where("_n = 0")
+    parts = [alone, first, empty.where("doc_id IS NULL"), _first(empty.where("doc_id IS NOT NULL"), ["_id"])]
+    return reduce(DataFrame.unionByName, [p.select(docs.columns) for p in parts])
+
+
+def _first(rows: DataFrame, keys: list[str]) -> DataFrame:
+    others = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min(F.struct("text", *(c for c in others if c != "text"))).alias("x")).select(*keys, "x.*")
 
 
 def _one_row_each(rows: DataFrame) -> DataFrame:
@@ -32,9 +61,7 @@ def _one_row_each(rows: DataFrame) -> DataFrame:
     several = cut(rows.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id"), "repeated-ids")
     if several.isEmpty():
         return rows
-    others = [c for c in rows.columns if c != "_id"]
-    first = rows.join(several, "_id", "left_semi").groupBy("_id").agg(F.min(F.struct("text", *(c for c in others if c != "text"))).alias("x")).select("_id", "x.*").select(rows.columns)
-    return rows.join(several, "_id", "left_anti").unionByName(first)
+    return rows.join(several, "_id", "left_anti").unionByName(_first(rows.join(several, "_id", "left_semi"), ["_id"]))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 import re
 
+import corpus_pipeline as P
 from textloom.llm.common import NULL_ID
 from textloom.llm.components import components
 from textloom.llm.jaccard import Threshold, join
@@ -73,3 +74,21 @@ def test_star_of_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     t = Threshold(95, 100)
     assert sorted(map(tuple, join(df, 3, t).collect())) == brute(rows, 3, t)
+
+
+def test_ids_of_several_texts(spark):
+    """Rows without an id, or that share one, are linked by their texts only; the pipeline loses no other text."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    near = lambda x: x + " more"
+    rows = [(None, a), (None, b), (None, ""), (None, None), (1, near(a)), (2, near(b)), (5, c), (5, d), (6, near(d)), (7, ""), (7, " "), (8, "z y x w v u"), (None, "p q r s t u"), (None, "p q r s t u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.id, r.component) for r in join(df).collect()]
+    by_id = {i: c for i, c in got if i not in (NULL_ID, 5)}
+    assert by_id == {1: 1, 2: 2, 6: 6, 7: 7, 8: 8}
+    assert sorted(c for i, c in got if i == NULL_ID)[:4] == [NULL_ID, NULL_ID, 1, 2]
+    lone = [c for i, c in got if i == NULL_ID and c not in (NULL_ID, 1, 2)]
+    assert len(lone) == 2 and lone[0] == lone[1] > 8
+    assert sorted(c for i, c in got if i == 5)[0] == 6 and max(c for i, c in got if i == 5) not in (5, lone[0])
+    kept = [tuple(r) for r in P.drop_near_copies(spark, df, "").collect()]
+    want = [(None, ""), (None, None), (1, near(a)), (2, near(b)), (5, c), (6, near(d)), (7, ""), (8, "z y x w v u"), (None, "p q r s t u")]
+    assert sorted(map(str, kept)) == sorted(map(str, want))

@@ -37,6 +37,8 @@ BAND_RATIO, DEPTH, PIVOTS, GROWTH = 1.5, 6, 2, 4
 FILTER_BITS = 1 << 24
 #: Sets that a task remembers to have dealt, so that copies of one text are dealt once.
 REMEMBERED = 500_000
+#: Numbers of sets that no id names lie from here up, after the ids of most tables.
+UNNAMED = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -128,17 +130,26 @@ def _read(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("_text"))
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """id, n, s1, s2: the size of each document's set and its fingerprint of 128 bits."""
+def signed_rows(rows: DataFrame, words: int, names: tuple[str, str, str]) -> DataFrame:
+    """The rows without `_text`, and by these names the size of its set and the set's fingerprint of 128 bits."""
+    columns = [c for c in rows.columns if c != "_text"]
 
     def run(batches):
         for b in batches:
             for at, texts in _steps(b):
                 sets = list(shingle_sets(texts, words))
                 s = [_signature(x) for x in sets]
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(at, len(texts)), pa.array([len(x) for x in sets], pa.int64()), pa.array([x[0] for x in s], pa.int64()), pa.array([x[1] for x in s], pa.int64())], ["id", "n", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, len(texts)) for c in columns), pa.array([len(x) for x in sets], pa.int64()), pa.array([x[0] for x in s], pa.int64()), pa.array([x[1] for x in s], pa.int64())], [*columns, *names])
+
+    schema = rows.select(columns).schema
+    for name in names:
+        schema = schema.add(name, "long")
+    return rows.mapInArrow(run, schema)
 
-    return _read(docs).mapInArrow(run, "id long, n long, s1 long, s2 long")
+
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """id, n, s1, s2: the size of each document's set and its fingerprint of 128 bits."""
+    return signed_rows(_read(docs), words, ("n", "s1", "s2"))
 
 
 def regions(docs: DataFrame, words: int, t: Threshold, largest: int) -> DataFrame:
@@ -168,31 +179,47 @@ def _places(column="id"):
     return [F.pmod(F.xxhash64(F.lit(k), column), F.lit(FILTER_BITS)).cast("int") for k in (1, 2)]
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """id, s1, s2 and set of the documents named in ids (and by chance of a few others).
+def _bits(places: DataFrame) -> np.ndarray:
+    """The bit filter of the places p."""
+    packed = places.groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, p % 32)")).alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS >> 5, np.uint32)
+    out[packed["w"].to_numpy(int)] = packed["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, prints: DataFrame, words: int) -> DataFrame:
+    """s1, s2 and set of the documents named in ids whose s1 is in prints (and by chance of a few others).
 
-    Documents are read again and their sets made anew, so nothing of them is shuffled; a bit filter of a
-    fixed size, sent to all tasks, tells which documents are meant.
+    Documents are read again and their sets made anew, so nothing of them is shuffled; bit filters of a
+    fixed size, sent to all tasks, tell which documents are meant. A task gives a set once.
     """
-    bit = F.explode(F.array(*_places()))
-    packed = ids.select(bit.alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, p % 32)")).alias("bits")).toPandas()
-    words_ = np.zeros(FILTER_BITS >> 5, np.uint32)
-    words_[packed["w"].to_numpy(int)] = packed["bits"].to_numpy(np.int64).astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(words_)
+    context = docs.sparkSession.sparkContext
+    by_id = context.broadcast(_bits(ids.select(F.explode(F.array(*_places())).alias("p"))))
+    by_print = context.broadcast(_bits(prints.select(F.pmod("s1", F.lit(FILTER_BITS)).cast("int").alias("p"))))
 
     def run(batches):
-        bits = shared.value
+        bits, wanted = by_id.value, by_print.value
         hit = lambda p: bits[p >> 5] >> (p & 31).astype(np.uint32) & 1
+        seen: set[tuple[int, int]] = set()
         for b in batches:
             p, q = (b.column(c).to_numpy(zero_copy_only=False) for c in ("p", "q"))
             b = b.filter(pa.array((hit(p) & hit(q)).astype(bool)))
-            for at, texts in _steps(b):
-                sets = list(shingle_sets(texts, words))
-                s = [_signature(x) for x in sets]
-                values = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in sets])], pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(at, len(texts)), pa.array([x[0] for x in s], pa.int64()), pa.array([x[1] for x in s], pa.int64()), values], ["id", "s1", "s2", "set"])
+            for _, texts in _steps(b):
+                sets, s = [], []
+                for x in shingle_sets(texts, words):
+                    y = _signature(x)
+                    place = y[0] % FILTER_BITS
+                    if y not in seen and int(wanted[place >> 5]) >> (place & 31) & 1:
+                        if len(seen) > REMEMBERED:
+                            seen.clear()
+                        seen.add(y)
+                        sets.append(x)
+                        s.append(y)
+                if sets:
+                    values = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in sets])], pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in s], pa.int64()), pa.array([x[1] for x in s], pa.int64()), values], ["s1", "s2", "set"])
 
-    return _read(docs).select("*", *(c.alias(n) for c, n in zip(_places(), "pq", strict=True))).mapInArrow(run, "id long, s1 long, s2 long, set array<long>")
+    return _read(docs).select("_text", *(c.alias(n) for c, n in zip(_places(), "pq", strict=True))).mapInArrow(run, "s1 long, s2 long, set array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
@@ -202,27 +229,51 @@ def verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     return one.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), inter.alias("inter")).select("a", "b", "inter", (F.col("na") + F.col("nb") - F.col("inter")).alias("uni"))
 
 
-def join(docs: DataFrame, words: int = 5, t: Threshold = Threshold(80, 100)) -> DataFrame:
-    """id (NULL_ID for null), n_shingles and component (the smallest id reachable by links) of every row.
+def linked(docs: DataFrame, words: int, t: Threshold) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows, the ids that name no set, and the components of the sets.
 
-    A null text, an empty one and one without words have an empty set and link with nothing. Rows of
-    equal sets are linked; rows that share an id are one vertex, but for those of an empty set. Very long
-    texts are read in steps. An empty table gives an empty result; other columns are ignored.
+    An id that rows of different sets share names none of them, nor does a null id of rows of an empty
+    set. Sets (n, s1, s2) are the vertices; c is the smallest id that names the set, or else a number of
+    UNNAMED or more made from its print. The third table has the sets whose component isn't the one id
+    of all their rows; `lead` is true for the one set of a component that gives it a number no id is.
     """
     signed = cut(signatures(docs, words), "jaccard-signatures")
-    largest = signed.agg(F.max("n")).first()[0] or 0
+    null = F.col("id") == NULL_ID
+    of_null = lambda f, c: f(F.when(null, F.col(c)))
+    largest, lo, hi, least = signed.agg(F.max("n"), of_null(F.min, "s1"), of_null(F.max, "s1"), of_null(F.min, "n")).first()
+    nulls = lo is not None and (lo != hi or least == 0)
+    several = cut(signed.where(~null).groupBy("id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("id"), "jaccard-shared-ids")
+    shared = several.unionByName(docs.sparkSession.range(1).select(F.lit(NULL_ID).alias("id"))) if nulls else several
     full = signed.where("n > 0")
-    classes = cut(full.groupBy("n", "s1", "s2").agg(F.min("id").alias("c"), F.max("id").alias("last")), "jaccard-classes")
-    several = full.groupBy("id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("id")
-    links = [full.join(several, "id", "left_semi").join(classes, ["n", "s1", "s2"]).select(F.col("id").alias("a"), F.col("c").alias("b"))]
+    own = full.withColumn("own", F.when(~null, F.col("id")) if nulls else F.col("id"))
+    if not several.isEmpty():  # null ids, which may be a large part of the rows, don't meet in the join
+        told = own.where(~null).join(several.select("id", F.lit(True).alias("_shared")), "id", "left")
+        own = own.where(null).unionByName(told.withColumn("own", F.when(F.col("_shared").isNull(), F.col("id"))).drop("_shared"))
+    grouped = own.groupBy("n", "s1", "s2").agg(F.min("own").alias("own"), F.min("id").alias("first"), F.max("id").alias("last"))
+    unnamed = F.col("s1").bitwiseAND(F.lit(UNNAMED - 1)).bitwiseOR(F.lit(UNNAMED))
+    classes = cut(grouped.withColumn("c", F.coalesce("own", unnamed)), "jaccard-classes")
+    found = docs.sparkSession.createDataFrame([], "node long, component long")
     if largest:
         members = _members(regions(docs, words, t, largest), classes)
         named = members.select("c", "s1", "s2").distinct()
-        again = sets_of(docs, named.select(F.col("c").alias("id")), words)
-        sets = cut(named.join(again.withColumnRenamed("id", "c"), ["c", "s1", "s2"]).dropDuplicates(["c", "s1", "s2"]).select("c", "set"), "jaccard-sets")
-        links.append(_pivoted(members.select("key", "c").distinct(), sets, t))
-    found = components(_union(links)).where("node <> component")
-    to = classes.join(found, classes["c"] == found["node"], "left").where("c <> last OR component IS NOT NULL").select("n", "s1", "s2", F.coalesce("component", "c").alias("component"))
+        again = sets_of(docs, named.select(F.col("c").alias("id")).unionByName(shared), named, words)
+        sets = cut(named.join(again, ["s1", "s2"]).dropDuplicates(["c", "s1", "s2"]).select("c", "set"), "jaccard-sets")
+        found = components(_pivoted(members.select("key", "c").distinct(), sets, t)).where("node <> component")
+    to = classes.join(found, classes["c"] == found["node"], "left").where("first <> last OR c <> last OR component IS NOT NULL")
+    part = F.coalesce("component", "c")
+    return signed, shared, to.select("n", "s1", "s2", part.alias("component"), (F.col("own").isNull() & (F.col("c") == part)).alias("lead"))
+
+
+def join(docs: DataFrame, words: int = 5, t: Threshold = Threshold(80, 100)) -> DataFrame:
+    """id (NULL_ID for null), n_shingles and component (the smallest id reachable by links) of every row.
+
+    A null text, an empty one and one without words have an empty set, link with nothing and have their
+    own id as component. Rows of equal sets are linked. Sharing an id doesn't link: an id (null too) that
+    rows of different sets have names no component, and a component of such rows only has a number made
+    from the print of one of its sets, of UNNAMED or more. Very long texts are read in steps. An empty
+    table gives an empty result; other columns are ignored.
+    """
+    signed, _, to = linked(docs, words, t)
     return signed.join(to, ["n", "s1", "s2"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
 
 
