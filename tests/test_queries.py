@@ -72,3 +72,11 @@ def test_roman(spark):
 
     got = [r[0] for r in spark.range(1, 2025).select(roman(F.col("id"))).collect()]
     assert [got[k - 1] for k in (1, 4, 9, 14, 40, 90, 400, 1994, 2024)] == ["I", "IV", "IX", "XIV", "XL", "XC", "CD", "MCMXCIV", "MMXXIV"]
+
+
+def test_advisor_totals(spark, sf):
+    """Every document counts, and known sources without one have a row."""
+    got = {r.source: r for r in catalogue.QUERIES["advisor_totals"](spark, sf).collect()}
+    assert sum(r.n for r in got.values()) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert len(got) == 25 and got["src24"].n == 0 and got["src24"].papers == 0 and got["src24"]["last"] is None
+    assert all(0 < r.papers <= r.n for r in got.values() if r.n)

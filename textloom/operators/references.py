@@ -126,3 +126,10 @@ def common_run(a: str, b: str) -> int:
         row = [0] + [row[j] + 1 if w == v else 0 for j, v in enumerate(y)]
         best = max(best, *row)
     return best
+
+
+def totals(log: DataFrame, known: DataFrame, key: str, order: str, paper: str) -> DataFrame:
+    """n, last and papers (distinct, not empty, by their SHA-256) of every known key; rows of other keys don't count."""
+    rows = log.select(F.col(key).alias("_key"), F.col(order).alias("_at"), F.when(F.col(paper) != "", F.sha2(F.col(paper), 256)).alias("_paper"))
+    sums = rows.groupBy("_key").agg(F.count("_at").alias("n"), F.max("_at").alias("last"), F.countDistinct("_paper").alias("papers"))
+    return known.join(sums, F.col(key) == F.col("_key"), "left").drop("_key").fillna(0, ["n", "papers"])

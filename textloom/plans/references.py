@@ -72,12 +72,19 @@ def even_sample(spark, sf):
 
 @query("SELECT d.source, count(l.doc_id) AS n, max(l.doc_id) AS last FROM (SELECT DISTINCT source FROM documents) d LEFT JOIN (SELECT doc_id, source FROM documents WHERE doc_id % 97 = 0) l ON d.source = l.source GROUP BY d.source")
 def advisor_summary(spark, sf):
-    """Every known source counts, those without a row too."""
+    """Every source of the documents, with the log's rows only; advisor_totals counts all documents and papers."""
     d = _docs(spark, sf)
     some = d.where("doc_id % 97 = 0").select("doc_id", F.col("source").alias("s"))
     return d.select("source").distinct().join(some, F.col("source") == F.col("s"), "left").groupBy("source").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("last"))
 
 
+@query("SELECT s.source, count(d.doc_id) AS n, max(d.doc_id) AS last, count(DISTINCT nullif(d.text, '')) AS papers FROM (SELECT 'src' || CAST(n_nationkey AS VARCHAR) AS source FROM nation) s LEFT JOIN documents d ON s.source = d.source GROUP BY s.source")
+def advisor_totals(spark, sf):
+    """Rows, last row and distinct papers of every known source, those without a document too."""
+    known = table(spark, sf, "nation").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("source"))
+    return references.totals(_docs(spark, sf), known, "source", "doc_id", "text")
+
+
 @query("SELECT doc_id, sha256(regexp_replace(" + "replace(" * len(T.TYPOGRAPHY) + "text" + "".join(", '{}', '{}')".format(a, b.replace("'", "''")) for a, b in T.TYPOGRAPHY.items()) + ", '-{2,}', '-', 'g')) AS folded_sha256 FROM documents")
 def typography_fold(spark, sf):
     return _docs(spark, sf).select("doc_id", F.sha2(T.fold_typography(F.col("text")), 256).alias("folded_sha256"))
