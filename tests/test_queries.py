@@ -80,3 +80,14 @@ def test_advisor_totals(spark, sf):
     assert sum(r.n for r in got.values()) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert len(got) == 25 and got["src24"].n == 0 and got["src24"].papers == 0 and got["src24"]["last"] is None
     assert all(0 < r.papers <= r.n for r in got.values() if r.n)
+
+
+def test_neighbour_leaks(spark):
+    """Copies of either neighbour count, with other line breaks too; what the own source holds doesn't."""
+    from textloom.operators.gates import neighbour_leaks
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, 1, a, "x\n" + b[:90].replace(" ", "\n")), (1, 2, b, a[-100:].replace(" ", "  ")), (1, 3, c, b[-70:-20]), (2, 1, a, b), (2, 2, a + "\n" + b, b)]
+    df = spark.createDataFrame(rows, "book long, k long, source string, output string")
+    got = sorted((r.book, r.k, r.detail) for r in neighbour_leaks(df, "book", "k", "source", "output").collect())
+    assert got == [(1, 1, "after"), (1, 2, "before")]

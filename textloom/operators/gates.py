@@ -103,3 +103,15 @@ def neighbour_leak(rows: DataFrame, book: str, order: str, source: str, output:
     cuts = F.transform(F.sequence(F.lit(1), F.length("_near") - (LEAK_WINDOW - 1), F.lit(LEAK_STEP)), lambda k: F.substring("_near", k, F.lit(LEAK_WINDOW)))
     hit = F.exists(cuts, lambda c: F.contains(F.col(output), c) & ~F.contains(F.col(source), c))
     return _finding(near.where(hit), [book, order], "neighbor_leak", "fail", F.lit("before"))
+
+
+def neighbour_leaks(rows: DataFrame, book: str, order: str, source: str, output: str) -> DataFrame:
+    """Rows whose output holds a stretch of the source before or after, which their own source doesn't hold; line breaks don't matter."""
+    w = Window.partitionBy(book).orderBy(order)
+    flat = rows.select(book, order, flatten_space(F.col(source)).alias("_own"), flatten_space(F.col(output)).alias("_out"))
+    near = flat.withColumn("before", F.right(F.lag("_own").over(w), F.lit(LEAK_REGION))).withColumn("after", F.left(F.lead("_own").over(w), F.lit(LEAK_REGION)))
+    sides = near.select(book, order, "_own", "_out", F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("near")) for c in ("before", "after")))).alias("x"))
+    long_ = sides.select(book, order, "_own", "_out", "x.*").where(F.length("near") >= LEAK_WINDOW)
+    cuts = F.transform(F.sequence(F.lit(1), F.length("near") - (LEAK_WINDOW - 1), F.lit(LEAK_STEP)), lambda k: F.substring("near", k, F.lit(LEAK_WINDOW)))
+    hit = F.exists(cuts, lambda c: F.contains("_out", c) & ~F.contains("_own", c))
+    return _finding(long_.where(hit), [book, order], "neighbor_leak", "fail", F.col("side"))

@@ -212,9 +212,19 @@ def neighbor_context(spark, sf):
     " SELECT conv_id, turn, 'neighbor_leak' AS \"check\", 'fail' AS severity, 'before' AS detail FROM n WHERE length(near) >= 60 AND len(list_filter(range(1, length(near) - 58, 30), lambda k: contains(output, substr(near, k, 60)) AND NOT contains(source, substr(near, k, 60)))) > 0"
 )
 def neighbor_leak(spark, sf):
+    """Only the source before, as it is written; neighbor_leak_sides is the whole gate."""
     return gates.neighbour_leak(_turns(spark, sf), "conv_id", "turn", "source", "output")
 
 
+@query(
+    f"WITH f AS (SELECT conv_id, turn, {FLAT('source')} AS own, {FLAT('output')} AS made FROM {PAIRS}), n AS (SELECT *, right(lag(own) OVER w, 180) AS b, left(lead(own) OVER w, 180) AS a FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),"
+    " s AS (SELECT conv_id, turn, own, made, 'before' AS detail, b AS near FROM n UNION ALL SELECT conv_id, turn, own, made, 'after', a FROM n)"
+    " SELECT conv_id, turn, 'neighbor_leak' AS \"check\", 'fail' AS severity, detail FROM s WHERE length(near) >= 60 AND len(list_filter(range(1, length(near) - 58, 30), lambda k: contains(made, substr(near, k, 60)) AND NOT contains(own, substr(near, k, 60)))) > 0"
+)
+def neighbor_leak_sides(spark, sf):
+    return gates.neighbour_leaks(_turns(spark, sf), "conv_id", "turn", "source", "output")
+
+
 # --- references: gaps and islands
 
 REF = "[0-9]{3}|token"
