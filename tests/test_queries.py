@@ -91,3 +91,11 @@ def test_neighbour_leaks(spark):
     df = spark.createDataFrame(rows, "book long, k long, source string, output string")
     got = sorted((r.book, r.k, r.detail) for r in neighbour_leaks(df, "book", "k", "source", "output").collect())
     assert got == [(1, 1, "after"), (1, 2, "before")]
+
+
+def test_packed_lines_of_several_chunks(spark, sf, monkeypatch):
+    """The query's packing closes chunks, so that it shows what packing keeps."""
+    made, chunks = [], blocks.chunks
+    monkeypatch.setattr(blocks, "chunks", lambda *a, **k: made.append(chunks(*a, **k)) or made[-1])
+    catalogue.QUERIES["packed_lines"](spark, sf)
+    assert not made[0].groupBy("doc_id").count().where("count > 1").isEmpty()

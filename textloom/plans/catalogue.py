@@ -409,7 +409,7 @@ def chunk_pack(spark, sf):
 @query("SELECT doc_id, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM " + LINES + " WHERE trim(line) <> '' GROUP BY doc_id")
 def packed_lines(spark, sf):
     """Packing keeps every line that isn't blank, in whichever chunk."""
-    rows = blocks.chunks(_docs(spark, sf), target=10**9).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
+    rows = blocks.chunks(_docs(spark, sf)).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
 
 
