@@ -1,15 +1,49 @@
 """Each stage of the pipeline against brute force on what the one before it kept."""
 
 import numpy as np
+import pytest
 
 import corpus_pipeline as P
 from test_jaccard import brute
 from test_texts import brute_hits
-from textloom.llm import token_store, toxicity
+from textloom.llm import mixing, token_store, toxicity
 from textloom.llm.common import cut
 from textloom.llm.jaccard import Threshold
 
 
+def shares(sizes, weights, cap):
+    """Targets of the sources: what exceeds a source's cap is shared again among the others by weight."""
+    w = {s: weights[k % len(weights)] for k, s in enumerate(sorted(sizes))}
+    target, open_ = {}, set(sizes)
+    while open_:
+        level = (sum(sizes.values()) - sum(target.values())) / sum(w[s] for s in open_)
+        full = {s for s in open_ if level * w[s] > cap * sizes[s]}
+        for s in full or open_:
+            target[s] = cap * sizes[s] if full else level * w[s]
+        open_ -= full or open_
+    return target
+
+
+def check_mix(before, after):
+    """Each source's taken words are its target, give or take half of its longest document."""
+    count = lambda t: len((t or "").split())
+    sizes, taken, longest = {}, {}, {}
+    for s, t in before:
+        sizes[s] = sizes.get(s, 0) + count(t)
+        longest[s] = max(longest.get(s, 0), count(t))
+    for s, t in after:
+        taken[s] = taken.get(s, 0) + count(t)
+    for s, want in shares(sizes, mixing.WEIGHTS, mixing.CAP).items():
+        assert abs(taken.get(s, 0) - want) <= longest[s] / 2 + 1, (s, want, taken.get(s, 0))
+
+
+def test_mix_check():
+    """A mix that takes too little, as the bound on copies let pass, fails."""
+    docs = [(f"s{k % 4}", "w " * (20 + k % 7)) for k in range(80)]
+    with pytest.raises(AssertionError):
+        check_mix(docs, docs[:20])
+
+
 def test_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
@@ -32,6 +66,7 @@ def test_stages(spark, sf):
     for i, _ in rows["mix_sources"]:
         copies[i] += 1
     assert max(copies.values()) <= 3
+    check_mix([(r.source, r.text) for r in kept["decontaminate"].collect()], [(r.source, r.text) for r in kept["mix_sources"].collect()])
     got = kept["token_output"].orderBy("start").collect()
     assert [r.doc_id for r in got] == sorted(i for i, _ in rows["mix_sources"])
     assert (np.cumsum([r.n_tokens for r in got])[:-1] == [r.start for r in got][1:]).all()
