@@ -94,3 +94,12 @@ def test_licenses(spark, sf):
     got = licenses.scan(spark.createDataFrame([(1, notice), (2, notice.replace("hereby", "now"))], "doc_id long, text string")).orderBy("doc_id").collect()
     assert got[0].labels == "mit" and got[0].base_labels == "" and got[0].score == 1 and got[1].labels == ""
     assert licenses.scan(docs.where("false")).count() == 0
+
+
+def test_key_phrase_alone(spark):
+    """A key phrase says enough, whichever other words of its notice are missing."""
+    from textloom.llm import licenses
+
+    rows = [(k, " ".join(["x,", *t.words[t.key[0] : t.key[1]], "y."]).capitalize()) for k, t in enumerate(licenses.NOTICES)]
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(t.label in got[k] for k, t in enumerate(licenses.NOTICES))

@@ -1,10 +1,10 @@
 """License scans through a positional rare-token index; DataFrame functions only.
 
 Every template is a run of words with the places of its mandatory key phrase. The index keeps, for
-each template, its rarest words (highest IDF over all documents) with their places in the template.
+each template, the rarest words of that phrase (highest IDF over all documents) with their places in the template.
 A document looks those words up, turns each hit into the place where the template would have to
-start, and intersects the starts of the template's rare words; what is left is verified against the
-mandatory key phrase. All of it is one projection of the document, so nothing is shuffled; only the
+start, and intersects the starts of the key phrase's rare words; what is left is verified against the
+mandatory key phrase. A text that holds the phrase whole holds these words at their places, so none is missed. All of it is one projection of the document, so nothing is shuffled; only the
 document counts of the vocabulary, as many as the templates have words, reach the driver.
 """
 
@@ -21,8 +21,8 @@ from .common import table
 
 #: Of texts in any case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Rare words of a template that the index looks up, and how many of them have to agree on a start.
-RARE, AGREE = 4, 2
+#: Rare words of a template's key phrase that the index looks up; all have to agree on a start.
+RARE = 4
 
 
 @dataclass(frozen=True)
@@ -84,8 +84,9 @@ def document_counts(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 
 
 def rare_words(template: Template, counts: dict[str, int]) -> list[tuple[str, int]]:
-    """The template's rarest words and the place of each in it, rarest first; ties by place."""
-    places = {w: template.words.index(w) for w in template.words if template.words.count(w) == 1}
+    """The rarest words of the template's key phrase and their places in the template, rarest first; ties by place."""
+    start, end = template.key
+    places = {w: template.words.index(w, start) for w in template.words[start:end]}
     return sorted(places.items(), key=lambda x: (counts.get(x[0], 0), x[1]))[:RARE]
 
 
@@ -94,16 +95,12 @@ def _array(words: tuple[str, ...]) -> str:
 
 
 def _starts(template: Template, counts: dict[str, int]) -> str:
-    """SQL: starts (from 0) where enough rare words of the template agree and its key phrase stands.
+    """SQL: starts (from 0) where the rare words of the template's key phrase agree and the phrase stands.
 
     A start before the text is lawful as long as the key phrase lies inside.
     """
     lists = [f"transform(filter(hits, h -> h.w = '{w}'), h -> h.i - {p})" for w, p in rare_words(template, counts)]
-    agree = len(lists) if template.base else min(AGREE, len(lists))
-    if agree == len(lists):
-        met = reduce("array_intersect({}, {})".format, lists)
-    else:
-        met = reduce("array_union({}, {})".format, [f"array_intersect({a}, {b})" for k, a in enumerate(lists) for b in lists[k + 1 :]])
+    met = reduce("array_intersect({}, {})".format, lists)
     start, end = template.key
     verified = f"filter(array_distinct({met}), s -> s + {start} >= 0 AND transform(slice(w, greatest(s + {start}, 0) + 1, {end - start}), x -> lower(x)) = {_array(template.words[start:end])})"
     return f"CASE WHEN size(hits) > 0 THEN {verified} ELSE cast(array() AS array<int>) END"
@@ -120,7 +117,7 @@ def scan(docs: DataFrame, phrases: tuple[Template, ...] = PHRASES, notices: tupl
     """Adds to `doc_id`: n_words, n_base, first_word, last_word, base_labels, labels, score, notices.
 
     `phrases` are the base: every place where all their words stand consecutively counts. `notices`
-    add labels where the rare words agree on a start, and give `notices`, an array of
+    add labels where their key phrase stands, and give `notices`, an array of
     (label, start, share). The score is 1 if a base phrase stands in the text, else the best share of
     a notice, else 0. A null or empty text has no words: counts of 0, null places, empty labels.
     Repeated rows give repeated results; other columns of the input are ignored.
