@@ -1,22 +1,26 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Sources share the words of the whole collection by weight, none above CAP times its own words. Every
-document is then worth target / source words copies: the whole part is allocated for certain, the rest
-is its inclusion probability. Documents are ranked by random odds over inclusion odds, and the smallest
-are taken until the source's remaining words are reached: a sample of fixed size, in words.
+document of a source is taken as often as the target holds the source's words whole: these copies are
+certain. The words left are a sample of fixed size in words, with inclusion in proportion to size (and
+certain for documents so long that this exceeds 1): documents are ranked by random odds over inclusion
+odds, and the smallest are taken until the next would exceed the words left. What is still left then,
+less than that document, goes to documents beyond the cut that fit, longest first, by rank within a size.
 
 The rank is cut without sorting a source in one task: ranks are mapped to integers, and the cut is found
 by radix, one digit after the other. Each round sums words by (source, digit), which combines before the
 shuffle, so a source that holds a third of all rows costs a few thousand partial sums a task; a document
-needs only its source's cut. Data grow with documents; what is joined back grows with sources.
+needs only its source's plan. Data grow with documents; what is joined back grows with sources. Tables
+by (source, size) have as many rows of a source as it has different sizes.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, discard, table
 
 #: Weights of the sources in the order of their names, repeating, and the most copies.
 WEIGHTS, CAP = (5, 2, 1), 3
@@ -51,70 +55,104 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = C
     return rows.withColumn("_settled", settled["_level"]).select("source", "source_size", F.coalesce(F.least("_cap", F.col("_settled") * F.col("_w")), F.col("_cap")).alias("target"))
 
 
-def _rank(copies: Column, key: Column) -> Column:
+def inclusion(counts: DataFrame) -> DataFrame:
+    """source and `_per_word`: inclusion is the smaller of 1 and `_per_word` x size.
+
+    counts: source, size, n, _left (the words that the sample is to take). The longest documents are
+    certain, down to the first size at which the rest can share what they leave in proportion to size.
+    """
+    down = Window.partitionBy("source").orderBy(F.desc("size"))
+    longer = F.coalesce(F.sum(F.col("size") * F.col("n")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    square = F.col("size").cast("decimal(18,0)") * F.col("size").cast("decimal(18,0)") * F.col("n")
+    rest = F.sum(square.cast("decimal(38,0)")).over(down.rowsBetween(0, Window.unboundedFollowing)).cast("double")
+    per = (F.col("_left") - longer) / rest
+    return counts.withColumn("_per", per).where("_per * size <= 1").groupBy("source").agg(F.max_by("_per", "size").alias("_per_word"))
+
+
+def _rank(p: Column, key: Column) -> Column:
     """Random odds over inclusion odds, mapped to an integer of BITS bits in the same order."""
     u = (F.pmod(key, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    p = copies - F.floor(copies)
     odds = (u * (1 - p)) / ((1 - u) * p)
     return F.least(F.floor((odds / (1 + odds)) * float(1 << BITS)).cast("long"), F.lit((1 << BITS) - 1))
 
 
-def ranked(docs: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
-    """Adds source_size, target, `_whole` copies, `_rank` and `_left`, the source's words that the sample is to take."""
-    copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    met = docs.withColumnRenamed("source", "_source").join(sources, F.col("_source").eqNullSafe(F.col("source"))).drop("source").withColumnRenamed("_source", "source")
-    key = F.xxhash64(F.lit(seed), "doc_id", "_digest")
-    return (
-        met.withColumn("_copies", copies)
-        .withColumn("_whole", F.floor("_copies").cast("long"))
-        .withColumn("_left", F.col("target") - F.col("_whole") * F.col("source_size"))
-        .withColumn("_rank", F.when((F.col("_left") > 0) & (F.col("size") > 0), _rank(F.col("_copies"), key)))
-    )
+def ranked(rows: DataFrame, seed: int = SEED) -> DataFrame:
+    """Adds `_rank`, null for what the sample doesn't take part in, to rows with `_left` and `_per_word`."""
+    p = F.least(F.lit(1.0), F.col("_per_word") * F.col("size"))
+    return rows.withColumn("_rank", F.when((F.col("_left") > 0) & (F.col("size") > 0), _rank(p, F.xxhash64(F.lit(seed), "doc_id", "_digest"))))
 
 
-def cuts(rows: DataFrame) -> DataFrame:
-    """source, `_cut`: documents of a smaller rank are taken; `_last`: the rank and size of one more, or null.
+def _with(rows: DataFrame, of_source: DataFrame) -> DataFrame:
+    return rows.join(of_source.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
-    The cut is the last rank before the source's words are exceeded. The document after it may be long,
-    so the last one taken is that, of all beyond the cut, whose size comes nearest to the words left.
-    """
-    some = rows.where("_rank IS NOT NULL").select("source", "size", "_rank", "_left")
-    state = some.groupBy("source").agg(F.max("_left").alias("_left")).withColumn("_prefix", F.lit(0).cast("long"))
+
+def cuts(rows: DataFrame) -> DataFrame:
+    """source, `_cut`: documents of a smaller rank are taken; `_rest`: the words still left then."""
+    state = rows.groupBy("source").agg(F.max("_left").alias("_rest")).withColumn("_cut", F.lit(0).cast("long"))
     for d in range(DIGITS):
         shift = BITS - DIGIT_BITS * (d + 1)
-        near = _with_state(some.drop("_left"), state).where(F.shiftright("_rank", shift + DIGIT_BITS) == F.col("_prefix"))
-        sums = near.groupBy("source", F.shiftright("_rank", shift).alias("_digit")).agg(F.sum("size").alias("_n"), F.max("_left").alias("_left"))
+        near = _with(rows, state).where(F.shiftright("_rank", shift + DIGIT_BITS) == F.col("_cut"))
+        sums = near.groupBy("source", F.shiftright("_rank", shift).alias("_digit")).agg(F.sum("size").alias("_n"), F.max("_rest").alias("_rest"))
         sums = sums.withColumn("_upto", F.sum("_n").over(Window.partitionBy("source").orderBy("_digit")))
         # the first digit at which the words left are reached, else the last one
-        short = F.col("_upto") < F.col("_left")
-        hit = F.struct(short.alias("short"), F.when(short, -F.col("_digit")).otherwise(F.col("_digit")).alias("order"), "_digit", (F.col("_left") - F.col("_upto") + F.col("_n")).alias("left"))
-        state = sums.groupBy("source").agg(F.min(hit).alias("h")).select("source", F.col("h.left").alias("_left"), F.col("h._digit").alias("_prefix"))
-        state = cut(state, "mixing-cuts")  # a row for each source
-    gap = F.abs(F.col("_left") - F.col("size"))
-    beyond = _with_state(some.drop("_left"), state).where((F.col("_rank") >= F.col("_prefix")) & (gap < F.col("_left")))
-    last = beyond.groupBy("source").agg(F.min(F.struct(gap.alias("gap"), F.col("_rank").alias("rank"), F.col("size").alias("size"))).alias("_last"))
-    return state.select("source", F.col("_prefix").alias("_cut")).join(last.withColumnRenamed("source", "_l"), F.col("source").eqNullSafe(F.col("_l")), "left").select("source", "_cut", "_last")
-
-
-def _with_state(rows: DataFrame, state: DataFrame) -> DataFrame:
-    return rows.join(state.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        short = F.col("_upto") < F.col("_rest")
+        hit = F.struct(short.alias("short"), F.when(short, -F.col("_digit")).otherwise(F.col("_digit")).alias("order"), "_digit", (F.col("_rest") - F.col("_upto") + F.col("_n")).alias("left"))
+        # a row for each source
+        state = cut(sums.groupBy("source").agg(F.min(hit).alias("h")).select("source", F.col("h.left").alias("_rest"), F.col("h._digit").alias("_cut")), "mixing-cuts")
+    return state
+
+
+def _fit(one: pd.DataFrame) -> pd.DataFrame:
+    """How many documents of each size fill one source's rest: longest first; at last one more if that comes nearer."""
+    rest, out = float(one["_rest"].iloc[0]), []
+    for size, n in sorted(zip(one["size"].tolist(), one["n"].tolist(), strict=True), reverse=True):
+        k = min(n, int(rest // size))
+        rest -= k * size
+        out.append([size, n, k])
+    left_out = min((x for x in out if x[1] > x[2]), default=None)
+    if left_out and left_out[0] < 2 * rest:
+        left_out[2] += 1
+    out = [x for x in out if x[2]]
+    return pd.DataFrame({"source": [one["source"].iloc[0]] * len(out), "size": [x[0] for x in out], "k": [x[2] for x in out]})
+
+
+def fills(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """source, `_fill`: for some sizes, the rank up to which documents beyond the cut are taken as well."""
+    beyond = _with(rows, state).where((F.col("_rank") >= F.col("_cut")) & (F.col("size") < 2 * F.col("_rest")))
+    sizes = beyond.groupBy("source", "size").agg(F.count("*").alias("n"), F.max("_rest").alias("_rest"))
+    fit = cut(sizes.groupBy("source").applyInPandas(_fit, "source string, size long, k long"), "mixing-fits")
+    most = fit.agg(F.max("k")).first()[0] or 0  # fewer than the words of a document
+    by = Window.partitionBy("source", "size").orderBy("_rank")
+    first = beyond.join(fit.withColumnsRenamed({"source": "_s", "size": "_z"}), F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
+    first = first.withColumn("_place", F.row_number().over(by)).where(F.col("_place") <= most)
+    upto = F.max("_place").over(Window.partitionBy("source", "size", "_rank"))  # rows of one rank are taken together or not at all
+    ends = first.withColumn("_upto", upto).where("_upto <= k").groupBy("source", "size").agg(F.max("_rank").alias("rank"))
+    return ends.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("size", "rank"))).alias("_fill"))
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """A row for each source: source, source_size, target, `_cut` and `_last`; what copies() needs besides a document."""
+    """A row for each source: source, source_size, target, and what copies needs of it besides a document."""
     sized = cut(_sized(docs), "mixing-sizes")
-    shares = cut(targets(sized, weights, cap), "mixing-targets")
-    at = cut(cuts(ranked(sized, shares, seed)), "mixing-ends").withColumnRenamed("source", "_s")
-    return cut(shares.join(at, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "mixing-plan")
+    copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    shares = targets(sized, weights, cap).withColumn("_whole", copies).withColumn("_left", F.col("target") - F.col("_whole") * F.col("source_size"))
+    shares = cut(shares, "mixing-targets")
+    counts = sized.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
+    shares = cut(_with(shares, inclusion(_with(counts, shares.select("source", "_left")).where("_left > 0"))), "mixing-shares", shares)
+    rows = ranked(_with(sized, shares.select("source", "_left", "_per_word")), seed).where("_rank IS NOT NULL").select("source", "size", "_rank", "_left")
+    state = cuts(rows)
+    out = cut(_with(_with(shares, state.drop("_rest")), fills(rows, state)), "mixing-plan", shares)
+    discard(sized)
+    return out
 
 
 def _sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_digest"))
 
 
-def _copies(rows: DataFrame, cap: float) -> DataFrame:
-    last = (F.col("_rank") == F.col("_last.rank")) & (F.col("size") == F.col("_last.size"))
-    more = F.when((F.col("_rank") < F.col("_cut")) | last, 1).otherwise(0)
+def _copies(rows: DataFrame, of_source: DataFrame, cap: float, seed: int) -> DataFrame:
+    """Adds source_size, target and copies."""
+    rows = ranked(_with(rows, of_source), seed)
+    more = F.when((F.col("_rank") < F.col("_cut")) | (F.col("_rank") <= F.try_element_at("_fill", F.col("size"))), 1).otherwise(0)
     return rows.withColumn("copies", F.least(F.col("_whole") + more, F.lit(int(cap)).cast("long")))
 
 
@@ -123,15 +161,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, s
 
     Sizes are words; a null or empty text has none and is never taken beyond the whole copies. A null
     source is a source of its own, after the others. Rows of one id and text share their rank, so they
-    are taken together; reruns agree, whatever the partitions. Other columns are ignored.
+    are taken together; reruns agree, whatever the partitions. A source's taken words differ from its
+    target by at most half the smallest document that could still be taken, as long as no rows share a
+    rank. An empty table gives an empty result; other columns are ignored.
     """
-    return _copies(ranked(_sized(docs), plan(docs, weights, cap, seed), seed), cap).select("doc_id", "source", "size", "source_size", "target", "copies")
+    return _copies(_sized(docs), plan(docs, weights, cap, seed), cap, seed).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """The rows of docs, each as often as mix() takes it; nothing but the sources' plan is joined to them."""
-    own = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_digest"))
-    rows = _copies(ranked(own, plan(docs, weights, cap, seed), seed), cap).where("copies > 0")
+    """The rows of docs, columns of any name as they were, each as often as mix() takes it; nothing but the sources' plan is joined to them."""
+    own = docs.select(F.struct("*").alias("_row"), "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_digest"))
+    rows = _copies(own, plan(docs, weights, cap, seed), cap, seed).where("copies > 0")
     return rows.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")
 
 
