@@ -103,3 +103,19 @@ def test_key_phrase_alone(spark):
     rows = [(k, " ".join(["x,", *t.words[t.key[0] : t.key[1]], "y."]).capitalize()) for k, t in enumerate(licenses.NOTICES)]
     got = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(t.label in got[k] for k, t in enumerate(licenses.NOTICES))
+
+
+def test_token_words_of_all_planes():
+    """Words with punctuation, over all planes, against the library; letters that normalise to several come first."""
+    import random
+
+    from textloom.llm import token_store as T
+
+    of, r = T.Encoder(T.vocabulary_path()), random.Random(5)
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+    texts = ["İYİ. TÜRKİYE, Şİİ;", "पहाड़, पहाड़, য়, גּ.", "ŉ. ǰ! ﬁ? ΣΑΣ, K. Å,", "á. éb, 'S's.", ". ,a ..b"]
+    for _ in range(20_000):
+        words = ["".join(r.choice(letters if r.random() < 0.7 else "़́̇İड़Zß'1-") for _ in range(r.randrange(1, 6))) + r.choice(["", ".", ",", "!?", ";:"]) for _ in range(3)]
+        texts.append(" ".join(words))
+    for t, got in zip(texts, of.encode(texts), strict=True):
+        assert [int.from_bytes(got[k : k + 4], "little") for k in range(0, len(got), 4)] == of.of.encode(t, add_special_tokens=False).ids, ascii(t)

@@ -18,6 +18,7 @@ is repeated, or runs twice, leaves one whole file.
 from __future__ import annotations
 
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,7 +39,8 @@ NAME, SKIPPABLE = b"TLTOKEN1", 0x184D2A5E
 FRAME = np.dtype([("place", "<u8"), ("packed", "<u8"), ("plain", "<u8"), ("packed_crc", "<u4"), ("plain_crc", "<u4"), ("first", "<u8")])
 DOC = np.dtype([("doc_id", "<i8"), ("n", "<u8"), ("null", "u1")])
 FOOTER = struct.Struct("<QIQQ8s")  # length of the table with its head, CRC-32, frames, documents, NAME
-FRAME_BYTES, FILE_IDS = 1 << 18, 1 << 26
+FRAME_BYTES, FILE_BYTES = 1 << 18, 1 << 28
+BATCH = 20_000
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 #: Words whose ids a task remembers; past this many it forgets them all and starts anew.
 REMEMBERED = 600_000
@@ -154,13 +156,25 @@ def _words(text: str) -> list[str]:
 BYTES = dict(zip((k for k in range(256) if not (33 <= k <= 126 or 161 <= k <= 172 or 174 <= k)), range(256, 512), strict=False))
 
 
+def _ends_in_letter(word: str) -> bool:
+    """Whether a word's normalised form (NFC, lower case) ends in a letter, after which punctuation begins a token of its own.
+
+    A letter may normalise to a letter and combining marks, which stay with the punctuation after them.
+    """
+    if word.isascii():
+        return word[-1:].isalpha()
+    low = unicodedata.normalize("NFC", word).lower()
+    return low[-1:].isalpha() and unicodedata.is_normalized("NFC", low) and low[-1].lower() == low[-1]
+
+
 class Encoder(dict):
     """Encodes texts word by word: the tokenizer drops white space and no token or rule of it spans any,
     so a text's ids are those of its words, and a word is encoded by the library once and remembered.
 
     Only white space that all of its rules agree on ends a word here; the rest is left to the library.
     Neither normalising nor splitting changes a word of Latin-1 letters besides lower case, so the
-    library's model gets it directly; punctuation after a letter begins a token of its own.
+    library's model gets it directly; punctuation after what normalises to a letter begins a token of
+    its own.
     """
 
     def __init__(self, path: str):
@@ -172,7 +186,7 @@ class Encoder(dict):
 
     def __missing__(self, word: str) -> bytes:
         core = word.rstrip(PUNCTUATION)
-        if core is not word and len(core) < len(word) and core[-1:].isalpha():
+        if len(core) < len(word) and _ends_in_letter(core):
             ids = self[core] + self[word[len(core) :]]
         elif word.isalpha() and word.isascii() or word.isalpha() and max(word) < "\u0100":
             low = word.lower()
@@ -207,9 +221,11 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, f
     task that writes them, since a range exchange runs what is below it twice.
     """
     spark = docs.sparkSession
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not files:  # as many tasks as other exchanges have, and no file of much over FILE_BYTES of text
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    spread = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    spread = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered = spread.withColumn("_part", F.spark_partition_id()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     end = struct.pack("<I", end_id)
 
@@ -235,6 +251,7 @@ def read_back(listing: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files; `listing` is write()'s result.
 
     The rows of the listing, as many as files, reach the driver: a file's first start is the sum of those before.
+    A task holds one frame, and rows of BATCH documents.
     """
     spark, at, starts = listing.sparkSession, 0, []
     for r in listing.orderBy("part").collect():
@@ -246,12 +263,15 @@ def read_back(listing: DataFrame) -> DataFrame:
         for b in batches:
             for path, first in zip(b.column("path").to_pylist(), b.column("first").to_pylist(), strict=True):
                 r = Reader(path)
-                held, frame, crcs = -1, b"", []
-                for k in range(len(r)):
-                    if (f := r.frame_of(k)) != held:
-                        held, frame = f, r.frame(f)
-                    crcs.append(zlib.crc32(r.read(k, frame)))
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r.id_of(k) for k in range(len(r))], pa.int64()), "start": pa.array(r.starts[:-1] + first, pa.int64()), "n_tokens": pa.array(r.docs["n"].astype(np.int64)), "ids_crc32": pa.array(crcs, pa.int64())})
+                held, frame = -1, b""
+                for at in range(0, len(r), BATCH):
+                    some, crcs = range(at, min(len(r), at + BATCH)), []
+                    for k in some:
+                        if (f := r.frame_of(k)) != held:
+                            held, frame = f, r.frame(f)
+                        crcs.append(zlib.crc32(r.read(k, frame)))
+                    own = slice(some.start, some.stop)
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r.id_of(k) for k in some], pa.int64()), "start": pa.array(r.starts[own] + first, pa.int64()), "n_tokens": pa.array(r.docs["n"][own].astype(np.int64)), "ids_crc32": pa.array(crcs, pa.int64())})
 
     return paths.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
