@@ -3,7 +3,10 @@
 import random
 import re
 
+import numpy as np
+
 import corpus_pipeline as P
+from textloom.llm import jaccard
 from textloom.llm.common import NULL_ID
 from textloom.llm.components import components
 from textloom.llm.jaccard import Threshold, join
@@ -76,6 +79,51 @@ def test_star_of_copies(spark):
     assert sorted(map(tuple, join(df, 3, t).collect())) == brute(rows, 3, t)
 
 
+def crowd(seed, m, n, most):
+    """Near copies of one text that all differ, few of them linked with it, and unrelated texts."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(5000)}" for _ in range(n)]
+    out = []
+    for k in range(m):
+        w = list(base)
+        for _ in range(r.randrange(0, most)):
+            w[r.randrange(n)] = f"v{r.randrange(10**6)}"
+        out.append((k * 7 % 100_003, " ".join(w)))
+    return out + [(200_000 + k, " ".join(f"u{k}_{j}" for j in range(100))) for k in range(20)]
+
+
+def test_voronoi_cells(spark, monkeypatch):
+    """Regions that are split by pivots, within a task and between tasks, and compared tile by tile."""
+    for region, leaf, shrink, rows in ((60, 8, 0.7, crowd(1, 200, 150, 12)), (40, 8, 0.95, crowd(2, 90, 1200, 120)), (4096, 64, 0.7, crowd(3, 150, 60, 5))):
+        monkeypatch.setattr(jaccard, "REGION", region)
+        monkeypatch.setattr(jaccard, "LEAF", leaf)
+        monkeypatch.setattr(jaccard, "SHRINK", shrink)
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        for words, t in ((3, Threshold(90, 100)), (5, Threshold(80, 100))):
+            assert sorted(map(tuple, join(df, words, t).collect())) == brute(rows, words, t)
+
+
+def test_windows_are_lossless():
+    """Sketches never differ in more places than sets in shingles; linked sets share the nearest pivot's cell."""
+    r, t = np.random.default_rng(1), Threshold(80, 100)
+    base = np.unique(r.integers(0, 2**63, 300).astype(np.uint64))
+    sets = [base]
+    for k in range(200):
+        sets.append(np.unique(np.r_[r.permutation(base)[: len(base) - k], r.integers(0, 2**63, k // 2).astype(np.uint64)]))
+    v = jaccard._folded([jaccard.sketch(x, t) for x in sets])
+    near = jaccard._within(v, v[[0, 40, 90, 150]], t.differ(300))
+    home = jaccard._distances(v, v[[0, 40, 90, 150]]).argmin(1)
+    assert not near.all() and near.any(1).all()
+    for i in range(0, 201, 7):
+        for j in range(201):
+            differ = len(np.setxor1d(sets[i], sets[j]))
+            assert np.bitwise_count(v[i] ^ v[j]).sum() <= differ
+            inter = len(np.intersect1d(sets[i], sets[j]))
+            assert t.near(differ, len(sets[i]), len(sets[j])) == (inter * 100 >= 80 * (len(sets[i]) + len(sets[j]) - inter))
+            if t.near(differ, len(sets[i]), len(sets[j])):
+                assert near[j, home[i]]
+
+
 def test_ids_of_several_texts(spark):
     """Rows without an id, or that share one, are linked by their texts only; the pipeline loses no other text."""
     a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
@@ -90,5 +138,5 @@ def test_ids_of_several_texts(spark):
     assert len(lone) == 2 and lone[0] == lone[1] > 8
     assert sorted(c for i, c in got if i == 5)[0] == 6 and max(c for i, c in got if i == 5) not in (5, lone[0])
     kept = [tuple(r) for r in P.drop_near_copies(spark, df, "").collect()]
-    want = [(None, ""), (None, None), (1, near(a)), (2, near(b)), (5, c), (6, near(d)), (7, ""), (8, "z y x w v u"), (None, "p q r s t u")]
+    want = [(None, ""), (None, None), (1, near(a)), (2, near(b)), (5, c), (6, near(d)), (7, ""), (7, " "), (8, "z y x w v u"), (None, "p q r s t u")]
     assert sorted(map(str, kept)) == sorted(map(str, want))

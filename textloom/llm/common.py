@@ -9,9 +9,13 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Stands for a null id where rows are keyed by id; a null sorts first, as in Spark.
 NULL_ID = -(2**63)
+#: Spark's setting by which a query's shuffle files are deleted when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ROWS_A_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1500"
 #: The share of labelled rows that no model sees: crc32(doc_id as text) mod 4 is 2.
 FOLDS, HELD_OUT = 4, 2
 
@@ -21,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only if nothing is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without it gets one of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = f"file://{tempfile.gettempdir()}/textloom-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -33,11 +39,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, so that losing an executor repeats no work before it."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def cut(df: DataFrame, name: str, *superseded: DataFrame) -> DataFrame:
+    """Writes a table to the shared folder and reads it back, so that losing an executor repeats no work before it.
+
+    Shuffle files of the write go when it ends, and so do the tables of `superseded`, which cut() made
+    and which nothing that runs later reads.
+    """
+    spark = df.sparkSession
+    short_batches(spark)
+    path = new_path(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    discard(*superseded)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that cut() made."""
+    for df in tables:
+        if path := getattr(df, "_cut_to", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            df._cut_to = None
 
 
 def held_out(doc_id="doc_id"):
@@ -45,18 +74,31 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches for long texts: where the session has Spark's 10,000 rows, which texts fill with tens of MB, BATCH_ROWS."""
+    if spark.conf.get(ROWS_A_BATCH) == "10000":
+        spark.conf.set(ROWS_A_BATCH, BATCH_ROWS)
+
+
+def texts_of(row: pa.StructArray) -> pa.Array:
+    """The texts within whole rows as UTF-8 bytes (null: empty)."""
+    return row.field("text").fill_null("").cast(pa.binary())
+
+
 def with_text(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns and the text as UTF-8 bytes in `_text` (null: empty)."""
     return docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))
 
 
-def map_batches(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list]], schema: str | StructType) -> DataFrame:
     """Applies a function of plain column lists to every Arrow batch; `schema` names all columns that it returns."""
-    spec = df.sparkSession.createDataFrame([], schema).schema
+    spec = schema if isinstance(schema, StructType) else df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(spec)
 
+    short_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:

@@ -20,10 +20,13 @@ from itertools import repeat
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import map_batches, table, with_text
+from .common import map_batches, table, texts_of, with_text
 
 WINDOW, SHINGLE, BLOCK_BYTES = 10, 3, 8_000_000
+#: An odd factor; prints of runs of words wrap around at 64 bits.
+SPREAD = np.int64(0x2545F4914F6CDD1D)
 #: A-Z to a-z, every other ASCII byte outside 0-9 and a-z to a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -43,9 +46,6 @@ class Items:
             for k in range(max(1, len(w) - window + 1)) if w else ():
                 windows[tuple(w[k : k + window])].add(item)
         self.windows = [(np.array(w, np.int64), sorted(names)) for w, names in windows.items()]
-        self.base = max(2, len(self.ids))
-        if self.base**SHINGLE >= 2**63:
-            raise ValueError("a block of items has too many different words; make blocks smaller")
         #: By shingle length: shingle -> the windows that hold it and where.
         self.shingles: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for n, (w, _) in enumerate(self.windows):
@@ -55,15 +55,16 @@ class Items:
         self.shingles = {k: dict(v) for k, v in self.shingles.items()}
 
     def codes(self, w: np.ndarray, k: int) -> np.ndarray:
-        """Of all runs of k words; -1 where a word isn't an item's."""
+        """Prints of all runs of k words; -1 where a word isn't an item's. Runs of one print are told apart by verification."""
         n = len(w) - k + 1
         if n <= 0:
             return np.zeros(0, np.int64)
         code, known = np.zeros(n, np.int64), np.ones(n, bool)
         for j in range(k):
             x = w[j : j + n]
-            code = code * self.base + x
+            code = code * SPREAD + x
             known &= x >= 0
+        code &= np.int64(2**63 - 1)
         code[~known] = -1
         return code
 
@@ -129,12 +130,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
 
     A window is `window` consecutive words of an item, or the whole item if it has fewer. A null or
     empty text has no words, hits or items; items of no words and items without an id take no part; an
-    id that repeats counts once. Rows that repeat give results that repeat; other columns are ignored.
+    id that repeats counts once. Rows that repeat give results that repeat; other columns are ignored. To
+    carry columns of any name, keep `row`, a struct of the whole row, from which the text is taken.
     """
     spark = docs.sparkSession
-    own = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.select(*keep).schema)
-    schema = own + ", n_words long, hits array<struct<start: long, end: long>>, items array<string>"
-    read = with_text(docs, *keep)
+    schema = _schema(docs.select(*keep), "n_words long, hits array<struct<start: long, end: long>>, items array<string>")
+    within = "row" in keep
+    read = docs.select(*keep) if within else with_text(docs, *keep)
+    texts = lambda b: texts_of(b["row"]) if within else b["_text"]
     parts = []
     for block in _blocks(items, window, block_bytes):
         all_of = spark.sparkContext.broadcast(block)
@@ -146,13 +149,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
                     counts[key] += 1
             return {"k": [k for k, _ in counts], "s": [s for _, s in counts], "n": list(counts.values())}
 
-        counts = map_batches(read.select("_text"), seen, "k int, s long, n long").groupBy("k", "s").agg(F.sum("n").alias("n"))
+        counts = map_batches(with_text(docs.select(F.col("row.text").alias("text")) if within else docs), seen, "k int, s long, n long").groupBy("k", "s").agg(F.sum("n").alias("n"))
         block.index({(r["k"], r["s"]): r["n"] for r in counts.collect()})  # as many rows as the block has shingles
+        all_of.destroy()
         index = spark.sparkContext.broadcast(block)
 
         def join(b: dict, x=index) -> dict:
             out: dict[str, list] = {"n_words": [], "hits": [], "items": []}
-            for t in b["_text"]:
+            for t in texts(b):
                 w = x.value.read(t.as_py())
                 spans, names = x.value.found(w)
                 out["n_words"].append(len(w))
@@ -164,12 +168,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     if not parts:
         empty = Items([], window)
         empty.index({})
-        nothing = lambda b: {c: b[c] for c in keep} | {"n_words": [len(words_of(t.as_py())) for t in b["_text"]], "hits": [[] for _ in b["_text"]], "items": [[] for _ in b["_text"]]}
+        nothing = lambda b: {c: b[c] for c in keep} | {"n_words": [len(words_of(t.as_py())) for t in texts(b)], "hits": [[] for _ in b[keep[0]]], "items": [[] for _ in b[keep[0]]]}
         return map_batches(read, nothing, schema)
     if len(parts) == 1:
         return map_batches(read, parts[0][0], schema)
     #: Several blocks: what each finds in a document meets again by the document's id and text.
-    keyed = [map_batches(read, _with_digest(f), schema + ", _digest string") for f, _ in parts]
+    keyed = [map_batches(read, _with_digest(f, texts), _schema(schema, "_digest string")) for f, _ in parts]
     every = reduce(DataFrame.unionByName, [k.where(F.size("hits") > 0) for k in keyed]).groupBy("doc_id", "_digest").agg(F.flatten(F.collect_set("hits")).alias("_hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items"))
     first = keyed[0].drop("hits", "items").alias("a")
     every = every.alias("b")
@@ -182,6 +186,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     return map_batches(met, merge, schema)
 
 
+def _schema(own: DataFrame | StructType, more: str) -> StructType:
+    fields = own.fields if isinstance(own, StructType) else own.schema.fields
+    return StructType([*fields, *StructType.fromDDL(more).fields])
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s, e in spans:
@@ -192,8 +201,8 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _with_digest(f):
-    return lambda b: f(b) | {"_digest": [hashlib.sha256(t.as_py()).hexdigest() for t in b["_text"]]}
+def _with_digest(f, texts):
+    return lambda b: f(b) | {"_digest": [hashlib.sha256(t.as_py()).hexdigest() for t in texts(b)]}
 
 
 def report(found: DataFrame) -> DataFrame:

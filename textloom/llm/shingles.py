@@ -8,7 +8,7 @@ import numpy as np
 
 #: A-Z to a-z; words end at the bytes 9-13 and 32.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-STEP = 2_000_000
+STEP = 500_000
 _rng = np.random.default_rng(20_240_901)
 BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)

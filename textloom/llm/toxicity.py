@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .common import held_out, map_batches, table
 from .symbols import BITS, SPACE, streams, symbols
@@ -282,21 +283,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     return train(*sample(docs, labels))
 
 
-def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns with score (0 to 1) and predicted (1 from THRESHOLD on).
 
-    A null or empty text scores as a window of no letters. Repeated rows give repeated results.
+    A null or empty text scores as a window of no letters. Repeated rows give repeated results. To carry
+    columns of any name, keep only `row`, a struct of the whole row; the text is taken from it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    extra = [x for x in docs.select(*keep).schema]
-    schema = ", ".join([f"`{x.name}` {x.dataType.simpleString()}" for x in extra] + ["score double", "predicted int"])
-    text = "_text_of_op"
+    extra = docs.select(*keep).schema.fields
+    schema = StructType([*extra, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    within, text = keep == ("row",), "_text_of_op"
 
     def run(b: dict) -> dict:
-        s = scores(shared.value, b[text].to_pylist())
+        s = scores(shared.value, (b["row"].field("text") if within else b[text]).to_pylist())
         return {x.name: b[x.name] for x in extra} | {"score": s, "predicted": (s >= THRESHOLD).astype(np.int32)}
 
-    return map_batches(docs.select(*keep, F.col(text_column).alias(text)), run, schema)
+    return map_batches(docs.select("row") if within else docs.select(*keep, F.col("text").alias(text)), run, schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
