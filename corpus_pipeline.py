@@ -6,76 +6,60 @@ documents; the last one returns a row for each document of the files that it wro
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, jaccard, mixing, token_store, toxicity
-from textloom.llm.common import NULL_ID, cut, table
+from textloom.llm.common import cut, table
+
+#: Words of a shingle.
+WORDS = 5
+
 
-#: Words of a shingle, and the columns that tell a set of shingles.
-WORDS, SET = 5, ["n", "s1", "s2"]
+def _carried(docs: DataFrame) -> DataFrame:
+    """The whole row in one struct, so that no column of documents clashes with one of an operator."""
+    return docs.select(F.struct("*").alias("row"), "doc_id")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator doesn't reject; it learns from the labels of documents."""
+    """Documents that the toxicity operator doesn't reject; it learns from the labels of documents.
+
+    Null and empty texts stay; rows that repeat are all kept or all dropped; an empty table stays empty.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, tuple(docs.columns), text_column="text").where("predicted = 0").drop("score", "predicted")
+    return toxicity.score(_carried(docs), model, ("row",)).where("predicted = 0").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of five-word-shingle similarity 0.8 one row: the first text of the smallest id that names one set.
+    """Of each group of five-word-shingle similarity 0.8 one row: of the set that the smallest id names, the row of the smallest doc_id.
 
-    An id that rows of different sets share, as null mostly is, says nothing about their texts; a group of
-    such rows only keeps the first text of one of its sets. Empty sets are in no group: they stay, but for
-    those of one id that isn't null, of which the first stays.
+    Rows are linked by their texts alone: an id that rows of different sets share, as null mostly is, links
+    nothing. Of rows of one id and set the smallest text stays, then the smallest row as JSON. Null texts,
+    empty ones and those without words are in no group and all stay.
     """
-    signed, shared, to = jaccard.linked(docs, WORDS, jaccard.Threshold(80, 100))
-    found = signed.join(to, SET, "left").select("id", F.coalesce("component", "id").alias("component"))
-    kept = found.where("id = component").select(F.col("id").alias("_kept")).distinct()
-    named = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    if shared.isEmpty():
-        return _one_row_each(named.join(kept, F.col("_id") == F.col("_kept"), "left_semi")).select(docs.columns)
-    shared = cut(shared.withColumnRenamed("id", "_shared"), "shared-ids")
-    nulls = not shared.where(F.col("_shared") == NULL_ID).isEmpty()
-    rest, null = (named.where("doc_id IS NOT NULL"), named.where("doc_id IS NULL")) if nulls else (named, named.limit(0))
-    kept = kept.join(shared, F.col("_kept") == F.col("_shared"), "left_anti")
-    alone = _one_row_each(rest.join(kept, F.col("_id") == F.col("_kept"), "left_semi"))
-    apart = null.unionByName(rest.join(shared, F.col("_id") == F.col("_shared"), "left_semi"))
-    apart = cut(jaccard.signed_rows(apart.withColumn("_text", F.coalesce("text", F.lit("")).cast("binary")), WORDS, ("_n", "_s1", "_s2")), "shared-rows")
-    lead = to.where("lead").select(*(F.col(c).alias(f"_{c}") for c in SET))
-    first = _first(apart.join(lead, ["_n", "_s1", "_s2"], "left_semi"), ["_n", "_s1", "_s2"])
-    empty = apart.where("_n = 0")
-    parts = [alone, first, empty.where("doc_id IS NULL"), _first(empty.where("doc_id IS NOT NULL"), ["_id"])]
-    return reduce(DataFrame.unionByName, [p.select(docs.columns) for p in parts])
-
-
-def _first(rows: DataFrame, keys: list[str]) -> DataFrame:
-    others = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.min(F.struct("text", *(c for c in others if c != "text"))).alias("x")).select(*keys, "x.*")
-
-
-def _one_row_each(rows: DataFrame) -> DataFrame:
-    """Ids that repeat are few; only their texts are compared."""
-    several = cut(rows.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id"), "repeated-ids")
-    if several.isEmpty():
-        return rows
-    return rows.join(several, "_id", "left_anti").unionByName(_first(rows.join(several, "_id", "left_semi"), ["_id"]))
+    return jaccard.one_of_each(docs, WORDS, jaccard.Threshold(80, 100))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns)).where(F.size("hits") == 0).select(docs.columns)
+    """Documents without any window of a benchmark item.
+
+    Null and empty texts hold none and stay; rows that repeat are all kept or all dropped.
+    """
+    found = decontaminate.contamination(_carried(docs), table(spark, sf_dir, "benchmark"), keep=("row", "doc_id"))
+    return found.where(F.size("hits") == 0).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    return mixing.take(docs).select(docs.columns)
+    """Every document as often as the mix takes it: 0 to 3 times.
+
+    A null or empty text has no words and is taken as often as whole copies of its source are; a null
+    source is a source of its own; rows of one id and text are taken alike.
+    """
+    return mixing.take(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32, read back from the files."""
+    """doc_id, start, n_tokens and ids_crc32, read back from the files; a null or empty text has the end id only."""
     return token_store.stored(docs)
 
 
@@ -94,5 +78,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each is written to the shared folder before the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}", docs)
     return STAGES[-1][1](spark, docs, sf_dir)
