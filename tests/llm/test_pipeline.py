@@ -72,3 +72,22 @@ def test_stages(spark, sf):
     assert (np.cumsum([r.n_tokens for r in got])[:-1] == [r.start for r in got][1:]).all()
     of = token_store.Encoder(token_store.vocabulary_path())
     assert [r.n_tokens for r in got] == [len(of.encode([t])[0]) // 4 + 1 for _, t in sorted(rows["mix_sources"])]
+
+
+def test_stages_on_any_columns(spark, sf):
+    """Columns named as the operators name theirs, nulls, repeated rows and empty tables."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    names = ["row", "r", "id", "_id", "n", "s1", "s2", "sk", "hits", "items", "n_words", "score", "predicted", "size", "target", "copies", "_text", "_rank", "_row", "lead", "a.b"]
+    wide = docs.selectExpr("*", *[f"doc_id `{c}`" for c in names]).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    wide = wide.unionByName(wide.limit(3)).unionByName(wide.limit(2).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit(None).cast("string")}))
+    for name, stage in P.STAGES:
+        out = stage(spark, wide, sf)
+        assert out.count() > 0 and stage(spark, wide.where("false"), sf).count() == 0, name
+        if name != P.STAGES[-1][0]:
+            assert out.columns == wide.columns, name
+            assert all(r["n"] == r["doc_id"] for r in out.where("doc_id IS NOT NULL").select("n", "doc_id").collect()), name
+    kept = P.drop_near_copies(spark, wide, sf)
+    assert kept.where("text IS NULL").count() == 2
+    assert kept.where("doc_id IS NOT NULL AND trim(text) <> ''").groupBy("doc_id").count().where("count > 1").count() == 0
