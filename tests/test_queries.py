@@ -35,6 +35,7 @@ def test_query(spark, sf, name):
 
 
 def test_rows():
+    assert blocks.split_rows(r"a } & b \\ c & d") == ["a } & b ", " c & d"]
     assert len(blocks.split_rows(r"\thead{Total \\ Time} & \thead{Method}")) == 1
     assert len(blocks.split_rows(r"\begin{cases} a \\ b \end{cases} & x \\ y & z")) == 2
 

@@ -142,7 +142,7 @@ def split_rows(body: str) -> list[str]:
                     start = k + 2
             k += 2
             continue
-        depth += (c == "{") - (c == "}")
+        depth = max(0, depth + (c == "{") - (c == "}"))  # a brace that closes nothing counts for nothing
         k += 1
     return [r for r in (*rows, body[start:]) if r.strip()]
 

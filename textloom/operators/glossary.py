@@ -65,8 +65,9 @@ def select_terms(local: DataFrame, keys: list[str], top: int = TOP, most: int =
 
 
 def term_hash() -> Column:
-    """SHA-256 over source, target, category and the sorted aliases, if any."""
-    tail = F.when(F.size("aliases") > 0, F.concat(F.lit("|"), F.array_join(F.sort_array("aliases"), ","))).otherwise("")
+    """SHA-256 over source, target, category and, if there are any, the sorted aliases as a JSON list."""
+    quoted = F.transform(F.sort_array("aliases"), lambda x: F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')))
+    tail = F.when(F.size("aliases") > 0, F.concat(F.lit('|aliases=["'), F.array_join(quoted, '", "'), F.lit('"]'))).otherwise("")
     return F.sha2(F.concat("source", F.lit("→"), "target", F.lit("|"), "category", tail), 256)
 
 

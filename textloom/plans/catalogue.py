@@ -42,9 +42,12 @@ def _turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _next(spark: SparkSession, sf: str) -> DataFrame:
-    """Consecutive documents of a source as source and output."""
+    """Consecutive documents of a source as source and output; only ids meet in the window, texts by their id."""
     w = Window.partitionBy("source").orderBy("doc_id")
-    return _docs(spark, sf).select("doc_id", F.col("source").alias("book"), F.col("text").alias("source"), F.lead("text").over(w).alias("output")).where("output IS NOT NULL")
+    docs = _docs(spark, sf)
+    ids = docs.select("doc_id", F.col("source").alias("book"), F.lead("doc_id").over(w).alias("_next")).where("_next IS NOT NULL")
+    own, then = docs.select("doc_id", F.col("text").alias("source")), docs.select(F.col("doc_id").alias("_next"), F.col("text").alias("output"))
+    return ids.join(own, "doc_id").join(then.where("output IS NOT NULL"), "_next").select("doc_id", "book", "source", "output")
 
 
 def _count(pattern: str, text: str = "text") -> str:
@@ -276,7 +279,7 @@ def term_selection(spark, sf):
     return glossary.select_terms(_local(spark, sf), ["doc_id"])
 
 
-@query(f"SELECT id, sha256(source || '→' || target || '|' || category || CASE WHEN len(aliases) > 0 THEN '|' || array_to_string(list_sort(aliases), ',') ELSE '' END) AS term_hash FROM {TERMS_SQL}")
+@query(f"SELECT id, sha256(source || '→' || target || '|' || category || CASE WHEN len(aliases) > 0 THEN '|aliases=[' || array_to_string(list_transform(list_sort(aliases), lambda x: chr(34) || replace(replace(x, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)) || chr(34)), ', ') || ']' ELSE '' END) AS term_hash FROM {TERMS_SQL}")
 def term_hash(spark, sf):
     return glossary.terms(spark).select("id", glossary.term_hash().alias("term_hash"))
 
@@ -432,4 +435,5 @@ def stream_dedup(spark, sf):
 def events_tumbling(spark, sf):
     return journal.drained(journal.tumbling(journal.events(spark, sf)), "events_tumbling", "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
+from . import editions as _editions  # noqa: E402,F401  adds its queries
 from . import references as _references  # noqa: E402,F401  adds its queries
