@@ -115,6 +115,24 @@ def test_mix(spark):
     assert mixing.take(df).count() == got["copies"].sum() and mixing.mix(df.where("false")).count() == 0
 
 
+def test_previous_factors():
+    """Lengths down to the sizes that are ranked, against every earlier place; strings end with their text."""
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        v = rng.permutation(rng.integers(1, 60))
+        assert repeats.smaller_before(v.astype(np.int32)).tolist() == [max((j for j in range(k) if v[j] < v[k]), default=-1) for k in range(len(v))]
+        least = int(rng.choice([1, 3, 8, 9, 12, 20]))
+        texts = [bytes(rng.choice(list(b"ab\0"), rng.integers(1, 35))) for _ in range(rng.integers(1, 4))]
+        texts.append(texts[0][-20:] + texts[-1][:15])
+        sizes = [min(repeats.WORD, least)]
+        while sizes[-1] < least:
+            sizes.append(min(least, 2 * sizes[-1]))
+        ends = [t[k:] for t in texts for k in range(len(t))]
+        common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        want = [max((common(ends[j], ends[k]) for j in range(k)), default=0) for k in range(len(ends))]
+        assert repeats.longest_previous_factors(texts, least).tolist() == [max((z for z in sizes if z <= w), default=0) for w in want]
+
+
 def test_repeats(spark):
     r = random.Random(9)
     word = lambda: "".join(r.choice("abcdeé") for _ in range(r.choice([2, 5, 9])))

@@ -11,8 +11,9 @@ of a corpus don't meet in one suffix array, so suffixes are dealt so that equal
    Where all of those were there before, every window is a repeat. Anchors that occur once are done.
 3. What is left are anchors whose surroundings differ, at the edges of repeats. The bytes around them
    come together by anchor; their suffixes are sorted up to LEAST bytes, by prefix doubling, ties by
-   place, so a suffix with a previous factor of LEAST bytes directly follows it. An anchor with very
-   many different surroundings is not put into one array: its windows meet by their own prints instead.
+   place. The previous and next smaller place of each in suffix order give its longest previous factor,
+   and what factors of LEAST bytes cover goes. An anchor with very many different surroundings is not
+   put into one array: its windows meet by their own prints instead.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ from .shingles import BYTE, FACTOR, mix
 
 LEAST, GRAM = 100, 32
 #: Bytes that a step works on, below 1 << PLACE_BITS; bytes of one suffix array; surroundings of one anchor in an array.
-STEP, PLACE_BITS, ARRAY_BYTES, ARRAY_MOST = 2_000_000, 24, 6_000_000, 10_000
+STEP, PLACE_BITS, ARRAY_BYTES, ARRAY_MOST = 2_000_000, 24, 2_000_000, 10_000
+#: Bytes that the first ranks of suffixes compare at once.
+WORD = 8
 INVERSE = np.uint64(pow(int(FACTOR), -1, 2**64))
 
 
@@ -120,30 +123,79 @@ def _anchors(docs: DataFrame, least: int, gram: int) -> DataFrame:
     return _docs(docs).where(F.length("_text") >= least).mapInArrow(run, "h long, ctx long, id long, dig long, start long, n int")
 
 
-def previous_factors(texts: list[bytes], least: int) -> list[np.ndarray]:
-    """For each text its window starts with an equal window earlier, in this order of texts and places.
+def smaller_before(v: np.ndarray) -> np.ndarray:
+    """For each place of `v`, all different, the nearest place before it that holds a smaller value, or -1.
 
-    Ranks of prefixes double up to `least` bytes; suffixes of equal rank stand together in suffix order,
-    ordered by place, so the previous smaller position of all but the first is the one before.
+    A tree of minima over pairs: up until a left sibling holds a smaller value, then down its right side.
+    """
+    levels = [v]
+    while len(levels[-1]) > 1:
+        x = levels[-1]
+        levels.append(np.minimum(x[::2], np.r_[x[1::2], x[-1:]] if len(x) % 2 else x[1::2]))
+    who = node = np.arange(len(v), dtype=np.int32)
+    met = []
+    for x in levels[:-1]:
+        odd = np.flatnonzero(node & 1)
+        hit = odd[x[node[odd] - 1] < v[who[odd]]]
+        met.append((who[hit], node[hit] - 1))
+        rest = np.ones(len(who), bool)
+        rest[hit] = False
+        who, node = who[rest], node[rest] >> 1
+    who = node = np.zeros(0, np.int32)
+    for k in range(len(met) - 1, -1, -1):
+        who, node = np.r_[who, met[k][0]], np.r_[node, met[k][1]]
+        if k:
+            right = 2 * node + 1
+            node = np.where(levels[k - 1][right] < v[who], right, right - 1)
+    out = np.full(len(v), -1, np.int32)
+    out[who] = node
+    return out
+
+
+def longest_previous_factors(texts: list[bytes], least: int) -> np.ndarray:
+    """For each place of the texts, one after the other, how long a string from there also starts earlier.
+
+    Lengths are known to the sizes that were ranked: WORD, doubled up to `least`; shorter ones are 0. Ranks
+    of such prefixes give the suffix order, ties by place; every text ends in an end of its own, so no string
+    leaves its text. Of all earlier places the previous and the next smaller one in suffix order share most.
     """
     b = np.frombuffer(b"".join(texts), np.uint8)
     n = np.array([len(t) for t in texts])
-    begin = np.r_[0, np.cumsum(n)[:-1]]
-    rank, have = b.astype(np.int64), 1
+    text = np.repeat(np.arange(len(n)), n)
+    room = np.cumsum(n)[text] - np.arange(len(b))
+    have = min(WORD, least)
+    padded = np.r_[b, np.zeros(have, np.uint8)]
+    key = np.zeros(len(b), np.uint64)
+    for k in range(have):
+        key = (key << np.uint64(8)) | padded[k : k + len(b)]
+    short = np.flatnonzero(room < have)  # shares nothing that counts
+    rank = np.unique(key, return_inverse=True)[1] + len(short)
+    rank[short] = np.arange(len(short))
+    ranks = [(have, rank.astype(np.int32))]
     while have < least:
         step = min(have, least - have)
-        pair = rank[: len(rank) - step] * (int(rank.max()) + 1) + rank[step:]
-        rank = np.unique(pair, return_inverse=True)[1]
+        after = np.where(room > step, np.r_[rank[step:], np.zeros(min(step, len(b)), np.int64)] + len(n), text)
+        rank = np.unique(rank * (int(after.max()) + 1) + after, return_inverse=True)[1]
         have += step
-    inside = np.zeros(len(rank), bool)
-    for s, k in zip(begin.tolist(), n.tolist(), strict=True):
-        inside[s : s + max(0, k - least + 1)] = True
-    at = np.flatnonzero(inside)
-    order = at[np.argsort(rank[at], kind="stable")]
-    follows = np.r_[False, rank[order][1:] == rank[order][:-1]]
-    found = np.zeros(len(b), bool)
-    found[order[follows]] = True
-    return [np.flatnonzero(found[s : s + k]) for s, k in zip(begin.tolist(), n.tolist(), strict=True)]
+        ranks.append((have, rank.astype(np.int32)))
+    order = np.argsort(rank, kind="stable").astype(np.int32)
+    sides = smaller_before(order), len(order) - 1 - smaller_before(order[::-1])[::-1]
+    best = np.zeros(len(order), np.int32)
+    for size, rank in ranks:
+        r = rank[order]
+        for near in sides:
+            there = (near >= 0) & (near < len(order))
+            best[there & (r[np.where(there, near, 0)] == r)] = size
+    found = np.zeros(len(order), np.int32)
+    found[order] = best
+    return found
+
+
+def previous_factors(texts: list[bytes], least: int) -> list[np.ndarray]:
+    """For each text its places whose previous factor has `least` bytes, in this order of texts and places."""
+    found = longest_previous_factors(texts, least) >= least
+    n = np.array([len(t) for t in texts])
+    return [np.flatnonzero(x) for x in np.split(found, np.cumsum(n)[:-1])]
 
 
 def _runs(starts: np.ndarray, least: int) -> list[tuple[int, int]]:
