@@ -70,12 +70,11 @@ def even_sample(spark, sf):
     return corpus.even_sample(table(spark, sf, "conversations").select("conv_id", "turn"), "conv_id", "turn")
 
 
-@query("SELECT d.source, count(l.doc_id) AS n, max(l.doc_id) AS last FROM (SELECT DISTINCT source FROM documents) d LEFT JOIN (SELECT doc_id, source FROM documents WHERE doc_id % 97 = 0) l ON d.source = l.source GROUP BY d.source")
+@query("SELECT source, count(doc_id) AS n, max(doc_id) AS last, count(DISTINCT nullif(text, '')) AS papers FROM documents WHERE source IS NOT NULL GROUP BY source")
 def advisor_summary(spark, sf):
-    """Every source of the documents, with the log's rows only; advisor_totals counts all documents and papers."""
+    """All documents and distinct papers of every source that has any; advisor_totals takes the known sources from a list."""
     d = _docs(spark, sf)
-    some = d.where("doc_id % 97 = 0").select("doc_id", F.col("source").alias("s"))
-    return d.select("source").distinct().join(some, F.col("source") == F.col("s"), "left").groupBy("source").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("last"))
+    return references.totals(d, d.select("source").where("source IS NOT NULL").distinct(), "source", "doc_id", "text")
 
 
 @query("SELECT s.source, count(d.doc_id) AS n, max(d.doc_id) AS last, count(DISTINCT nullif(d.text, '')) AS papers FROM (SELECT 'src' || CAST(n_nationkey AS VARCHAR) AS source FROM nation) s LEFT JOIN documents d ON s.source = d.source GROUP BY s.source")
