@@ -100,3 +100,70 @@ def test_packed_lines_of_several_chunks(spark, sf, monkeypatch):
     monkeypatch.setattr(blocks, "chunks", lambda *a, **k: made.append(chunks(*a, **k)) or made[-1])
     catalogue.QUERIES["packed_lines"](spark, sf)
     assert not made[0].groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def test_gates(spark):
+    """What each gate says about the invented pairs."""
+    from textloom.operators import gates, glossary
+    from textloom.plans import fixtures
+
+    pairs, K = fixtures.pairs(spark), ["doc_id"]
+    found = lambda df, *cols: sorted((-r.doc_id, *(r[c] for c in cols)) for r in df.collect())
+    assert found(gates.structure(pairs, K), "detail", "severity") == [(1, "headings", "warn"), (1, "list_items", "warn"), (1, "table_rows", "fail")]
+    assert found(gates.fences(pairs, K)) == [(2,)]
+    assert found(gates.untranslated(pairs, K)) == [(3,)]
+    assert found(gates.commentary(pairs, K), "detail") == [(4, "opener"), (5, "note"), (6, "fenced")]
+    assert found(gates.numerals(pairs, K), "detail") == [(7, n) for n in sorted(["58.9", "58.9%", "10ms", "60.000", "85Hz", "6.7"])]
+    assert found(gates.images(pairs, K), "detail", "severity", "n") == [(9, "c.png", "fail", 1), (9, "d.png", "warn", 1), (9, "fig/a.png", "warn", 1), (9, "fig/b.png", "fail", 1)]
+    assert found(glossary.left_untranslated(pairs, glossary.terms(spark), K), "detail") == [(10, "t8")]
+    assert found(gates.reference_verbatim(pairs.where("doc_id IN (-12, -13)"), K)) == [(13,)]
+    quotes = spark.createDataFrame([(1, "a", "the ﬁrst  “part”"), (1, "b", "never there"), (1, "c", "short"), (1, "d", None)], "doc_id long, field string, quote string")
+    chunks = spark.createDataFrame([(1, 'So the first "part"\nends')], "doc_id long, source string")
+    assert found(gates.evidence(quotes, chunks, K), "field") == [(-1, "b")]
+
+
+def test_gates_on_nulls_and_nothing(spark):
+    """Null texts find nothing, rows that repeat are reported as often, an empty table stays empty."""
+    from textloom.operators import gates, glossary
+
+    pairs, K = spark.createDataFrame([(1, None, "x"), (2, "x 1.5", None), (3, "", ""), (None, None, None)], "doc_id long, source string, output string"), ["doc_id"]
+    for rows, n in ((pairs, 0), (pairs.where("false"), 0)):
+        for gate in (gates.structure, gates.fences, gates.commentary, gates.numerals, gates.untranslated, gates.reference_verbatim):
+            assert gate(rows, K).count() == n
+        assert glossary.left_untranslated(rows, glossary.terms(spark), K).count() == 0
+    twice = spark.createDataFrame([(1, "1.5", "no")] * 2, "doc_id long, source string, output string")
+    assert gates.numerals(twice, K).count() == 2
+
+
+def test_term_selection(spark):
+    """Own terms first, then the most frequent others by frequency and source, against plain Python."""
+    import random
+
+    from textloom.operators import glossary
+
+    rng = random.Random(3)
+    texts = [(k, " ".join(str(int(rng.paretovariate(0.4))) for _ in range(rng.randint(0, 150)))) for k in range(40)] + [(98, ""), (99, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    terms = glossary.terms(spark)
+    local = glossary.frequencies(df, glossary.surfaces(terms), ["doc_id"])
+    got = {}
+    for r in glossary.select_terms(df, local, terms, ["doc_id"]).orderBy("doc_id", "rank").collect():
+        got.setdefault(r.doc_id, []).append((r.id, r.own, r.freq))
+    forms = {r.id: (r.source, [r.source, *r.aliases]) for r in terms.collect()}
+    count = {}
+    for k, t in texts:
+        words = (t or "").split()
+        count[k] = {i: sum(words.count(f) for f in fs) for i, (_, fs) in forms.items()}
+    freq = {i: sum(c[i] for c in count.values()) for i in forms}
+    order = sorted(forms, key=lambda i: (-freq[i], forms[i][0], i))
+    for k, _ in texts:
+        own = [i for i in order if count[k][i]]
+        want = [(i, True, freq[i]) for i in own] + [(i, False, freq[i]) for i in [i for i in order if i not in own][:20]]
+        assert got[k] == want[:50]
+    assert any(len(v) == 50 for v in got.values())
+
+
+def test_protected(spark):
+    texts = [(1, "a $x$ b [@k1; @k2] and $$y\n$$ \\(z\\)"), (2, None), (3, "")]
+    rows = {r.doc_id: r for r in blocks.protected(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert all(rows[k].restored == t for k, t in texts) and len(rows[1].spans) == 4 and "$" not in rows[1].text

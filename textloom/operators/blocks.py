@@ -118,14 +118,32 @@ def protect(text: str) -> tuple[str, list[tuple[str, str]]]:
 
 def restore(text: str, spans: list[tuple[str, str]], rounds: int = 8) -> str:
     """Tokens back to spans; spans may hold tokens themselves."""
+    known = dict(spans)
     for _ in range(rounds):
-        if "⟦" not in text:
+        text, before = re.sub(r"⟦[A-Z]\d{4,}⟧", lambda m: known.get(m[0], m[0]), text), text
+        if text == before:
             break
-        for token, span in spans:
-            text = text.replace(token, span)
     return text
 
 
+def protected(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, text with tokens, its spans (token, span) and what restoring gives; a null text is null throughout."""
+
+    def run(batches):
+        for b in batches:
+            out: dict[str, list] = {key: [], "text": [], "spans": [], "restored": []}
+            for i, t in zip(b.column(key).to_pylist(), b.column(text).to_pylist(), strict=True):
+                held, spans = protect(t) if t is not None else (None, [])
+                out[key].append(i)
+                out["text"].append(held)
+                out["spans"].append([{"token": a, "span": z} for a, z in spans])
+                out["restored"].append(None if held is None else restore(held, spans))
+            span = pa.struct([("token", pa.string()), ("span", pa.string())])
+            yield pa.RecordBatch.from_pydict(out, pa.schema([(key, pa.int64()), ("text", pa.string()), ("spans", pa.list_(span)), ("restored", pa.string())]))
+
+    return docs.select(key, text).mapInArrow(run, f"{key} long, text string, spans array<struct<token: string, span: string>>, restored string")
+
+
 def split_rows(body: str) -> list[str]:
     r"""Rows of a LaTeX table: `\\` counts outside braces and environments only."""
     rows, depth, envs, start, k = [], 0, 0, 0, 0

@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import count_matches, flatten_space, solid_length
+from textloom.functions.text import count_matches, flatten_space, fold_typography, solid_length
 
 #: Fixed values of the length gate and of a chat opener.
 LOW, HIGH, FLOOR, BOOK_SHARE, MEDIAN_LEAST, SHORT = 0.35, 2.5, 0.20, 0.55, 3, 200
-OPENER = r"(?i)^\s*(sure|certainly|of course|here is|here's|here are)\b"
+#: What a chat opener and a closing note look like, a line each.
+OPENER = (
+    r"^\s*(?:Here(?:'s| is)\b[^\n]*|Sure[,!][^\n]*|Certainly[,!][^\n]*|I(?:'ll| will| have)\b[^\n]*translat[^\n]*|(?:Below|Following) is\b[^\n]*translat[^\n]*"
+    r"|Translated (?:text|content|markdown)\s*:?[^\n]*|번역(?:본|문)?\s*[:입니][^\n]*|以下[^\n]*翻译[^\n]*)$"
+)
+NOTE = r"(?i)^\s*(?:Note\s*:|Notes?\s+on\s+the\s+translation|번역\s*노트\s*:|I hope this helps|Let me know if)[^\n]*$"
+#: Lines that count as structure, images, and numerals whose spelling moves between languages.
+STRUCTURE = (("headings", r"^#{1,6}\s+\S", "warn"), ("table_rows", r"^\s*\|[^\n]*\|\s*$", "fail"), ("list_items", r"^\s*(?:[-*+]\s+|[0-9]+[.)]\s+)\S", "warn"))
+FENCE = r"^\s*(?:```|~~~)"
+IMAGES = (("markdown", r"!\[[^\]]*\]\(([^)\s]+)"), ("html", r"""(?i)<img\b[^>]*?\bsrc\s*=\s*["']([^"']+)["']"""))
 LEAK_WINDOW, LEAK_STEP, LEAK_REGION = 60, 30, 180
-NUMERAL = r"\d+(?:[.,]\d+)+%?|\d+%"
+GROUPED = r"(?<![\p{L}\p{N}_.,])([0-9]+[.,][0-9]+)(?![0-9.,])"
+ATTACHED = r"(?<![\p{L}\p{N}_.,])([0-9]+(?:[.,][0-9]+)?(?:%|ms|GB|Hz))(?![\p{L}\p{N}_])"
+MAGNITUDE = r"(?i)(?<![\p{L}\p{N}_.,])([0-9]+(?:[.,][0-9]+)?)\s*(?:million|billion|trillion|thousand|hundred)\b"
 
 
 def _finding(rows: DataFrame, keys: list[str], check: str, severity: Column | str, detail: Column) -> DataFrame:
@@ -21,29 +32,66 @@ def _finding(rows: DataFrame, keys: list[str], check: str, severity: Column | st
 
 def structure(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Headings, table rows and list items may not become fewer."""
-    kinds = {"headings": (r"(?m)^#{1,6} ", "warn"), "table_rows": (r"(?m)^\|", "fail"), "list_items": (r"(?m)^[-*] ", "warn")}
-    rows = pairs.select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"), count_matches(F.col("source"), p).alias("a"), count_matches(F.col("output"), p).alias("b")) for k, (p, s) in kinds.items()))).alias("x"))
+    lost = lambda k, p, s: F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"), count_matches(F.col("source"), "(?md)" + p).alias("a"), count_matches(F.col("output"), "(?md)" + p).alias("b"))
+    rows = pairs.select(*keys, F.explode(F.array(*(lost(*x) for x in STRUCTURE))).alias("x"))
     return _finding(rows.where("x.b < x.a"), keys, "structure", F.col("x.severity"), F.col("x.kind"))
 
 
 def fences(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    rows = pairs.where(count_matches(F.col("output"), "(?m)^```") % 2 == 1)
+    """An odd number of code fences in the output."""
+    rows = pairs.where(count_matches(F.col("output"), "(?md)" + FENCE) % 2 == 1)
     return _finding(rows, keys, "fences", "fail", F.lit("odd"))
 
 
 def commentary(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """A chat opener among the first three lines."""
-    rows = pairs.where(F.exists(F.slice(F.split("output", "\n"), 1, 3), lambda x: x.rlike(OPENER)))
-    return _finding(rows, keys, "commentary", "fail", F.lit("opener"))
+    """A chat opener in the first three lines, a note in the last three, or one fence around everything."""
+    bare = F.regexp_replace("output", r"^\s+|\s+$", "")
+    lines = F.split(bare, "\n")
+    kinds = {
+        "opener": F.exists(F.slice(lines, 1, 3), lambda x: x.rlike(OPENER)),
+        "note": F.exists(F.slice(F.reverse(lines), 1, 3), lambda x: x.rlike(NOTE)),
+        "fenced": bare.startswith("```") & bare.endswith("```") & (F.length(bare) - F.length(F.replace(bare, F.lit("```"), F.lit(""))) == 6),
+    }
+    rows = pairs.select(*keys, F.explode(F.array(*(F.when(c, k) for k, c in kinds.items()))).alias("kind")).where("kind IS NOT NULL")
+    return _finding(rows, keys, "commentary", "fail", F.col("kind"))
 
 
 def numerals(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Numerals with separators and percentages of the source that the output nowhere holds verbatim."""
-    found = F.array_distinct(F.regexp_extract_all("source", F.lit(f"({NUMERAL})"), 1))
-    rows = pairs.select(*keys, F.explode(F.filter(found, lambda n: ~F.contains(F.col("output"), n))).alias("n"))
+    """Numerals with a separator, a percent sign or a unit, but no magnitude word, that the output nowhere holds verbatim."""
+    every = lambda p: F.regexp_extract_all("source", F.lit(p), 1)
+    wanted = F.array_except(F.array_union(every(GROUPED), every(ATTACHED)), every(MAGNITUDE))
+    rows = pairs.select(*keys, F.explode(F.filter(wanted, lambda n: ~F.contains(F.col("output"), n))).alias("n"))
     return _finding(rows, keys, "numerals", "fail", F.col("n"))
 
 
+def images(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Image references that the output lost (fail) or gained (warn), each with how many times."""
+    found = []
+    for kind, pattern in IMAGES:
+        side = lambda c, sign: pairs.select(*keys, F.explode(F.regexp_extract_all(c, F.lit(pattern), 1)).alias("image"), F.lit(sign).alias("n"))  # noqa: B023,E731
+        found.append(side("source", 1).unionByName(side("output", -1)).withColumn("kind", F.lit(kind)))
+    rows = found[0].unionByName(found[1]).groupBy(*keys, "kind", "image").agg(F.sum("n").alias("n")).where("n <> 0")
+    return rows.select(*keys, F.lit("images").alias("check"), F.when(F.col("n") > 0, "fail").otherwise("warn").alias("severity"), "kind", F.col("image").alias("detail"), F.abs("n").alias("n"))
+
+
+def reference_verbatim(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Reference chunks whose entries, below an opening heading, changed; the detail is by how many characters."""
+    entries = lambda c: F.regexp_replace(F.regexp_replace(c, r"^\s*#{1,6}[^\n]*\n", ""), r"^\s+|\s+$", "")
+    rows = pairs.select(*keys, entries("source").alias("a"), entries("output").alias("b")).where("a <> b")
+    return _finding(rows, keys, "reference_verbatim", "fail", F.abs(F.length("a") - F.length("b")).cast("string"))
+
+
+def evidence(quotes: DataFrame, chunks: DataFrame, keys: list[str], least: int = 8) -> DataFrame:
+    """Quotes of at least `least` characters that their chunk doesn't hold; white space and typography don't matter.
+
+    quotes: keys, field, quote; chunks: keys, source. A null quote offers nothing.
+    """
+    fold = lambda c: fold_typography(flatten_space(F.col(c)))
+    rows = quotes.select(*keys, "field", "quote", fold("quote").alias("_quote")).where(F.length("_quote") >= least)
+    bad = rows.join(chunks.select(*keys, fold("source").alias("_source")), keys).where(~F.contains("_source", "_quote"))
+    return _finding(bad, [*keys, "field"], "meta_evidence", "fail", F.left("quote", F.lit(100)))
+
+
 def untranslated(pairs: DataFrame, keys: list[str]) -> DataFrame:
     rows = pairs.where((flatten_space(F.col("source")) == flatten_space(F.col("output"))) & F.col("source").rlike(r"\p{L}"))
     return _finding(rows, keys, "untranslated", "fail", F.lit("identical"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOP, MOST = 20, 50
+#: Forms up to which a glossary is broadcast; forms that aren't plain words, up to which each text is searched for every one.
+BROADCAST_FORMS, PATTERN_FORMS = 200_000, 10_000
+WORD = r"[\p{L}\p{N}_]+"
 TERM = "id string, source string, target string, category string, aliases array<string>"
 #: An invented glossary for the queries; words of the test tables.
 TERMS = [
@@ -18,10 +23,12 @@ TERMS = [
     ("t7", "idiot", "fool", "insult", ["clown"]),
     ("t8", "license", "licence", "law", ["MIT License"]),
 ]
+#: And as many numbers, of which most texts hold few.
+NUMBERS = 200
 
 
 def terms(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TERMS, TERM)
+    return spark.createDataFrame(TERMS + [(f"n{k}", str(k), f"no. {k}", "number", []) for k in range(NUMBERS)], TERM)
 
 
 def surfaces(terms_: DataFrame) -> DataFrame:
@@ -31,8 +38,6 @@ def surfaces(terms_: DataFrame) -> DataFrame:
 
 def matches(surface: str) -> str:
     """Pattern of a surface form: whole words, space, hyphen and no-break space alike; CJK anywhere."""
-    import re
-
     body = re.sub(r"(?:\\?[ \- ])+", r"[ \\-\\x{00A0}]+", "".join(f"\\x{{{ord(c):X}}}" if not c.isalnum() and c not in " - " else c for c in surface))
     if re.search("[぀-ヿ㐀-鿿가-힣]", surface):
         return body if len(surface) > 1 else r"(?!)"
@@ -42,26 +47,59 @@ def matches(surface: str) -> str:
 def frequencies(texts: DataFrame, surfaces_: DataFrame, keys: list[str]) -> DataFrame:
     """keys, id and n: a term counts in all its forms.
 
-    The glossary is collected to build one pattern for each form; it is refused beyond 10,000 forms. Texts
-    are read once and only the terms that a text holds leave the projection.
+    Forms of one plain word join the words of the texts, which are read once; the glossary is broadcast up
+    to BROADCAST_FORMS forms and shuffled beyond. Other forms (of several words, with signs, not ASCII) are
+    a pattern each, looked for where the text holds their first word; over PATTERN_FORMS of those are refused.
+    Null and empty texts hold no term; rows that repeat their keys count together.
+    """
+    forms = surfaces_.select("id", "surface").where("surface IS NOT NULL").distinct()
+    plain = F.col("surface").rlike("^[A-Za-z0-9_]+$")
+    rows = forms.where(~plain).limit(PATTERN_FORMS + 1).collect()
+    if len(rows) > PATTERN_FORMS:
+        raise ValueError(f"over {PATTERN_FORMS} forms of a glossary aren't plain words")
+    words = forms.where(plain).select("id", F.col("surface").alias("_word"))
+    if words.limit(BROADCAST_FORMS + 1).count() <= BROADCAST_FORMS:
+        words = F.broadcast(words)
+    held = texts.select(*keys, F.explode(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)).alias("_word"))
+    found = held.join(words, "_word").groupBy(*keys, "id").agg(F.count("*").alias("n"))
+    if rows:
+        head = lambda s: re.split(r"[ \-\u00a0]", s)[0]
+        count = lambda s: F.when(F.contains("text", F.lit(head(s))), F.regexp_count("text", F.lit(matches(s)))).otherwise(0)
+        counts = [F.struct(F.lit(r["id"]).alias("id"), count(r["surface"]).cast("long").alias("n")) for r in sorted(rows)]
+        more = texts.select(*keys, F.explode(F.filter(F.array(*counts), lambda x: x["n"] > 0)).alias("x")).select(*keys, "x.*")
+        found = found.unionByName(more)
+    return found.groupBy(*keys, "id").agg(F.sum("n").alias("n"))
+
+
+def select_terms(texts: DataFrame, local: DataFrame, terms_: DataFrame, keys: list[str], top: int = TOP, most: int = MOST) -> DataFrame:
+    """The terms of each text: its own first, then the `top` most frequent of the others, `most` in all.
+
+    Both by frequency, then source, then id; a text without a term of its own gets the frequent ones. Terms
+    that stand nowhere have frequency 0 and are still terms.
+    """
+    freq = terms_.select("id", "source").join(local.groupBy("id").agg(F.sum("n").alias("_freq")), "id", "left")
+    term = F.struct((-F.coalesce("_freq", F.lit(0))).alias("less"), "source", "id").alias("term")
+    every = freq.select("id", term)
+    leaders = every.orderBy("term").limit(top + most).agg(F.sort_array(F.collect_list("term"))).scalar()
+    own = local.join(every, "id").groupBy(*keys).agg(F.sort_array(F.collect_list("term")).alias("own"))
+    rows = texts.select(*keys).join(own, keys, "left").withColumn("own", F.coalesce("own", F.array())).withColumn("all", leaders)
+    rest = F.slice(F.filter("all", lambda x: ~F.exists("own", lambda y: y["id"] == x["id"])), 1, top)
+    mark = lambda c, v: F.transform(c, lambda x: F.struct(x["id"].alias("id"), F.lit(v).alias("own"), (-x["less"]).alias("freq")))
+    chosen = F.slice(F.concat(mark("own", True), mark(rest, False)), 1, most)
+    return rows.select(*keys, F.posexplode(chosen).alias("rank", "x")).select(*keys, (F.col("rank") + 1).cast("long").alias("rank"), "x.*")
+
+
+def left_untranslated(pairs: DataFrame, terms_: DataFrame, keys: list[str]) -> DataFrame:
+    """Terms whose source stands in source and output, though the output lacks the target.
+
+    Image links, addresses and code spans of the output don't count. Rows of null texts find nothing.
     """
-    rows = surfaces_.select("id", "surface").distinct().limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("a glossary of over 10,000 forms has to be matched by tokens")
-    counts = [F.struct(F.lit(r["id"]).alias("id"), F.regexp_count("text", F.lit(matches(r["surface"]))).cast("long").alias("n")) for r in sorted(rows)]
-    found = texts.select(*keys, F.explode(F.filter(F.array(*counts), lambda x: x["n"] > 0)).alias("x"))
-    return found.groupBy(*keys, "x.id").agg(F.sum("x.n").alias("n"))
-
-
-def select_terms(local: DataFrame, keys: list[str], top: int = TOP, most: int = MOST) -> DataFrame:
-    """The terms of each text: its own first, then the most frequent of all, up to `most`."""
-    every = local.groupBy("id").agg(F.sum("n").alias("freq"))
-    leaders = [r["id"] for r in every.orderBy(F.desc("freq"), "id").limit(top).collect()]
-    spread = local.select(*keys).distinct().withColumn("id", F.explode(F.array(*map(F.lit, leaders)).cast("array<string>")))
-    named = local.select(*keys, "id", F.lit(True).alias("own")).unionByName(spread.withColumn("own", F.lit(False)))
-    rows = named.groupBy(*keys, "id").agg(F.max("own").alias("own")).join(every, "id")
-    w = Window.partitionBy(*keys).orderBy(F.desc("own"), F.desc("freq"), "id")
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select(*keys, F.col("rank").cast("long").alias("rank"), "id", "own", "freq")
+    body = F.regexp_replace("output", r"!\[[^\]]*\]\([^)]*\)|<img[^>]*>|https?://\S+|`[^`\n]+`", " ")
+    forms = terms_.where("target <> '' AND source <> '' AND target <> source")
+    stands = frequencies(pairs.select(*keys, body.alias("text")), forms.select("id", F.col("source").alias("surface")), keys)
+    near = stands.join(forms.select("id", F.col("source").alias("_from"), F.col("target").alias("_to")), "id").join(pairs.select(*keys, "source", "output"), keys)
+    bad = near.where(F.contains("source", "_from") & ~F.contains("output", "_to"))
+    return bad.select(*keys, F.lit("glossary").alias("check"), F.lit("fail").alias("severity"), F.col("id").alias("detail"))
 
 
 def term_hash() -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import blocks, corpus, gates, glossary, incremental
+from textloom.plans import fixtures
 from textloom.sources.tables import lines, pairs, table
 from textloom.streaming import journal
 
@@ -27,7 +28,7 @@ def query(sql: str | None = None):
 # --- what the queries pair and split, in both dialects
 
 PAIRS = "(SELECT conv_id, turn, source, output FROM (SELECT conv_id, turn, role, text AS source, lead(text) OVER w AS output, lead(role) OVER w AS answers FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND answers = 'assistant')"
-NEXT = "(SELECT * FROM (SELECT doc_id, source AS book, text AS source, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS output FROM documents) WHERE output IS NOT NULL)"
+NEXT = "(SELECT * FROM (SELECT doc_id, source AS book, text AS source, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS output FROM documents) WHERE output IS NOT NULL UNION ALL SELECT * FROM " + fixtures.PAIRS_SQL + ")"
 LINES = "(SELECT doc_id, unnest(range(len(x))) AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))"
 SPACES = r"[\s\x{00A0}]+"
 MARKERS = {"paragraph": "<p[ >]", "link": "<a ", "script": "<script", "heading": "<h[1-6][ >]", "list": "<(?:ul|ol)[ >]", "table": "<table", "image": "<img", "nav": "<nav", "blink": "<blink"}
@@ -42,12 +43,12 @@ def _turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _next(spark: SparkSession, sf: str) -> DataFrame:
-    """Consecutive documents of a source as source and output; only ids meet in the window, texts by their id."""
+    """Consecutive documents of a source as source and output, and the invented pairs; only ids meet in the window, texts by their id."""
     w = Window.partitionBy("source").orderBy("doc_id")
     docs = _docs(spark, sf)
     ids = docs.select("doc_id", F.col("source").alias("book"), F.lead("doc_id").over(w).alias("_next")).where("_next IS NOT NULL")
     own, then = docs.select("doc_id", F.col("text").alias("source")), docs.select(F.col("doc_id").alias("_next"), F.col("text").alias("output"))
-    return ids.join(own, "doc_id").join(then.where("output IS NOT NULL"), "_next").select("doc_id", "book", "source", "output")
+    return ids.join(own, "doc_id").join(then.where("output IS NOT NULL"), "_next").select("doc_id", "book", "source", "output").unionByName(fixtures.pairs(spark))
 
 
 def _count(pattern: str, text: str = "text") -> str:
@@ -139,29 +140,59 @@ def _gate_sql(check: str, severity: str, detail: str, rows: str) -> str:
     return f"SELECT doc_id, '{check}' AS \"check\", {severity} AS severity, {detail} AS detail FROM {rows}"
 
 
-_KINDS = (("headings", "(?m)^#{1,6} ", "warn"), ("table_rows", r"(?m)^\|", "fail"), ("list_items", "(?m)^[-*] ", "warn"))
-
-
-@query(" UNION ALL ".join(_gate_sql("structure", f"'{s}'", f"'{k}'", f"{NEXT} WHERE {_count(p, 'output')} < {_count(p, 'source')}") for k, p, s in _KINDS))
+@query(" UNION ALL ".join(_gate_sql("structure", f"'{s}'", f"'{k}'", f"{NEXT} WHERE {_count('(?m)' + p, 'output')} < {_count('(?m)' + p, 'source')}") for k, p, s in gates.STRUCTURE))
 def structure_gate(spark, sf):
     return gates.structure(_next(spark, sf), K)
 
 
-@query(_gate_sql("fences", "'fail'", "'odd'", f"{NEXT} WHERE {_count('(?m)^```', 'output')} % 2 = 1"))
+@query(_gate_sql("fences", "'fail'", "'odd'", f"{NEXT} WHERE {_count('(?m)' + gates.FENCE, 'output')} % 2 = 1"))
 def fence_gate(spark, sf):
     return gates.fences(_next(spark, sf), K)
 
 
-@query("SELECT conv_id, turn, 'commentary' AS \"check\", 'fail' AS severity, 'opener' AS detail FROM " + PAIRS + " WHERE len(list_filter(string_split(output, chr(10))[1:3], lambda x: regexp_matches(x, '(?i)^\\s*(sure|certainly|of course|here is|here''s|here are)\\b'))) > 0")
+_ANY = lambda part, pattern: "len(list_filter({}, lambda x: regexp_matches(x, '{}'))) > 0".format(part, pattern.replace("'", "''"))
+
+
+@query(
+    f"WITH b AS (SELECT conv_id, turn, regexp_replace(output, '^\\s+|\\s+$', '', 'g') AS bare FROM {PAIRS} UNION ALL SELECT doc_id, CAST(0 AS INTEGER), regexp_replace(output, '^\\s+|\\s+$', '', 'g') FROM {fixtures.PAIRS_SQL}), l AS (SELECT *, string_split(bare, chr(10)) AS x FROM b)"
+    f" SELECT conv_id, turn, 'commentary' AS \"check\", 'fail' AS severity, detail FROM (SELECT conv_id, turn, 'opener' AS detail FROM l WHERE {_ANY('x[1:3]', gates.OPENER)} UNION ALL SELECT conv_id, turn, 'note' FROM l WHERE {_ANY('x[-3:]', gates.NOTE)}"
+    " UNION ALL SELECT conv_id, turn, 'fenced' FROM l WHERE bare LIKE '```%' AND bare LIKE '%```' AND length(bare) - length(replace(bare, '```', '')) = 6)"
+)
 def commentary_gate(spark, sf):
-    return gates.commentary(_turns(spark, sf), ["conv_id", "turn"])
+    made = fixtures.pairs(spark).select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), "source", "output")
+    return gates.commentary(_turns(spark, sf).unionByName(made), ["conv_id", "turn"])
+
 
+#: RE2 looks neither ahead nor behind, so numerals are cut out as runs first; a percent sign before a word character is none.
+_W = r"\p{L}\p{N}_"
 
-@query("SELECT doc_id, 'numerals' AS \"check\", 'fail' AS severity, n AS detail FROM (SELECT doc_id, output, unnest(list_distinct(regexp_extract_all(source, '" + gates.NUMERAL + "'))) AS n FROM " + NEXT + ") WHERE NOT contains(output, n)")
+
+@query(
+    f"WITH p AS (SELECT doc_id, source, output, regexp_replace(source, '%([{_W}])', '; \\1', 'g') AS t FROM {NEXT}), u AS (SELECT doc_id, output, source, unnest(regexp_extract_all(t, '[{_W}.,]+%?')) AS run FROM p),"
+    f" w AS (SELECT doc_id, output, regexp_extract(run, '^([0-9]+[.,][0-9]+)(?:[^0-9.,]|$)', 1) AS n FROM u UNION SELECT doc_id, output, regexp_extract(run, '^([0-9]+(?:[.,][0-9]+)?(?:%|ms|GB|Hz))(?:[^{_W}]|$)', 1) FROM u),"
+    f" m AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(source, '(?i)(?:^|[^{_W}.,])([0-9]+(?:[.,][0-9]+)?)\\s*(?:million|billion|trillion|thousand|hundred)\\b', 1)) AS n FROM p)"
+    " SELECT doc_id, 'numerals' AS \"check\", 'fail' AS severity, n AS detail FROM w WHERE n <> '' AND NOT contains(output, n) AND (doc_id, n) NOT IN (SELECT doc_id, n FROM m)"
+)
 def numeral_gate(spark, sf):
     return gates.numerals(_next(spark, sf), K)
 
 
+_FOUND = lambda c, sign: " UNION ALL ".join("SELECT doc_id, '{}' AS kind, unnest(regexp_extract_all({}, '{}', 1)) AS image, {} AS n FROM {}".format(k, c, q.replace("'", "''"), sign, NEXT) for k, q in gates.IMAGES)
+
+
+@query(f"SELECT doc_id, 'images' AS \"check\", CASE WHEN s > 0 THEN 'fail' ELSE 'warn' END AS severity, kind, image AS detail, abs(s) AS n FROM (SELECT doc_id, kind, image, CAST(sum(n) AS BIGINT) AS s FROM ({_FOUND('source', 1)} UNION ALL {_FOUND('output', -1)}) GROUP BY doc_id, kind, image) WHERE s <> 0")
+def image_gate(spark, sf):
+    return gates.images(_next(spark, sf), K)
+
+
+_ENTRIES = lambda c: f"regexp_replace(regexp_replace({c}, '^\\s*#{{1,6}}[^\\n]*\\n', ''), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(_gate_sql("reference_verbatim", "'fail'", "CAST(abs(length(a) - length(b)) AS VARCHAR)", f"(SELECT doc_id, {_ENTRIES('source')} AS a, {_ENTRIES('output')} AS b FROM {NEXT}) WHERE a <> b"))
+def reference_verbatim_gate(spark, sf):
+    return gates.reference_verbatim(_next(spark, sf), K)
+
+
 FLAT = lambda c: f"trim(regexp_replace({c}, '{SPACES}', ' ', 'g'))"
 
 
@@ -250,7 +281,7 @@ def reference_gap_fill(spark, sf):
 # --- glossary
 
 TERM_ROWS = ", ".join("('{}', '{}', '{}', '{}', [{}]::VARCHAR[])".format(a, b, c, d, ", ".join(f"'{x}'" for x in e)) for a, b, c, d, e in glossary.TERMS)
-TERMS_SQL = f"(SELECT * FROM (VALUES {TERM_ROWS}) AS t(id, source, target, category, aliases))"
+TERMS_SQL = f"(SELECT * FROM (VALUES {TERM_ROWS}) AS t(id, source, target, category, aliases) UNION ALL SELECT 'n' || k, CAST(k AS VARCHAR), 'no. ' || k, 'number', []::VARCHAR[] FROM range({glossary.NUMBERS}) AS r(k))"
 TOKENS = r"[\p{L}\p{N}_]+"
 #: Whole words of a term count as tokens; a form of two words as two tokens in a row.
 FREQ = (
@@ -271,12 +302,34 @@ def term_frequency(spark, sf):
 
 
 @query(
-    f"WITH {FREQ}, f AS (SELECT id, CAST(sum(n) AS BIGINT) AS freq FROM local GROUP BY id), top AS (SELECT id FROM f ORDER BY freq DESC, id LIMIT 20),"
-    " u AS (SELECT doc_id, id, true AS own FROM local UNION ALL SELECT doc_id, top.id, false FROM (SELECT DISTINCT doc_id FROM local), top), g AS (SELECT doc_id, id, bool_or(own) AS own FROM u GROUP BY doc_id, id),"
-    " r AS (SELECT doc_id, g.id, own, freq, row_number() OVER (PARTITION BY doc_id ORDER BY own DESC, freq DESC, g.id) AS rank FROM g JOIN f ON g.id = f.id) SELECT doc_id, rank, id, own, freq FROM r WHERE rank <= 50"
+    f"WITH {FREQ}, f AS (SELECT t.id, t.source, CAST(coalesce(sum(n), 0) AS BIGINT) AS freq FROM {TERMS_SQL} t LEFT JOIN local ON t.id = local.id GROUP BY t.id, t.source),"
+    " d AS (SELECT x.doc_id, f.id, f.source, freq, local.id IS NOT NULL AS own FROM documents x CROSS JOIN f LEFT JOIN local ON local.doc_id = x.doc_id AND local.id = f.id),"
+    " g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, own ORDER BY freq DESC, source, id) AS k FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY own DESC, k) AS rank FROM g WHERE own OR k <= 20)"
+    " SELECT doc_id, rank, id, own, freq FROM r WHERE rank <= 50"
 )
 def term_selection(spark, sf):
-    return glossary.select_terms(_local(spark, sf), ["doc_id"])
+    return glossary.select_terms(_docs(spark, sf), _local(spark, sf), glossary.terms(spark), ["doc_id"])
+
+
+_BODY = r"regexp_replace(output, '!\[[^\]]*\]\([^)]*\)|<img[^>]*>|https?://\S+|`[^`\n]+`', ' ', 'g')"
+
+
+@query(f"SELECT DISTINCT doc_id, 'glossary' AS \"check\", 'fail' AS severity, t.id AS detail FROM (SELECT doc_id, source, output, unnest(regexp_extract_all({_BODY}, '{TOKENS}')) AS token FROM {NEXT}) p JOIN {TERMS_SQL} t ON token = t.source WHERE contains(p.source, t.source) AND NOT contains(output, t.target) AND t.target <> t.source")
+def glossary_gate(spark, sf):
+    return glossary.left_untranslated(_next(spark, sf), glossary.terms(spark), K)
+
+
+_FOLD = lambda c: "regexp_replace(" + "replace(" * len(T.TYPOGRAPHY) + FLAT(c) + "".join(", '{}', '{}')".format(a, b.replace("'", "''")) for a, b in T.TYPOGRAPHY.items()) + ", '-{2,}', '-', 'g')"
+#: Every document offers its first 60 characters, as its chunk has them, and the same reversed.
+_QUOTES = "(SELECT doc_id, 'conflicts' AS field, left(text, 60) AS quote, text AS source FROM documents UNION ALL SELECT doc_id, 'new_entities', reverse(left(text, 60)), text FROM documents)"
+
+
+@query(f"SELECT doc_id, field, 'meta_evidence' AS \"check\", 'fail' AS severity, left(quote, 100) AS detail FROM {_QUOTES} WHERE length({_FOLD('quote')}) >= 8 AND NOT contains({_FOLD('source')}, {_FOLD('quote')})")
+def evidence_gate(spark, sf):
+    d = _docs(spark, sf)
+    head = F.left("text", F.lit(60))
+    quotes = d.select("doc_id", F.lit("conflicts").alias("field"), head.alias("quote")).unionByName(d.select("doc_id", F.lit("new_entities").alias("field"), F.reverse(head).alias("quote")))
+    return gates.evidence(quotes, d.select("doc_id", F.col("text").alias("source")), K)
 
 
 @query(f"SELECT id, sha256(source || '→' || target || '|' || category || CASE WHEN len(aliases) > 0 THEN '|aliases=[' || array_to_string(list_transform(list_sort(aliases), lambda x: chr(34) || replace(replace(x, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)) || chr(34)), ', ') || ']' ELSE '' END) AS term_hash FROM {TERMS_SQL}")
@@ -298,10 +351,10 @@ def gloss_first_use(spark, sf):
 
 # --- entities, manifests and plans
 
-OBSERVED = "(SELECT doc_id AS chunk, source, lang AS target, CASE WHEN n_chars > 1500 THEN 'long' ELSE 'short' END AS category FROM documents WHERE doc_id % 7 = 0)"
+OBSERVED = "(SELECT doc_id AS chunk, source, lang AS target, CASE WHEN n_chars > 1500 THEN 'long' ELSE 'short' END AS category FROM documents)"
 
 
-@query(f"SELECT source, n_pairs, n_evidence, first_target, CASE WHEN n_pairs = 1 THEN 'auto' ELSE 'conflict' END AS decision, CASE WHEN n_evidence >= 3 THEN 'high' WHEN n_evidence = 2 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT source, count(DISTINCT (target, category)) AS n_pairs, count(DISTINCT chunk) AS n_evidence, min(target) AS first_target FROM {OBSERVED.replace(' WHERE doc_id % 7 = 0', '')} GROUP BY source)")
+@query(f"SELECT source, n_pairs, n_evidence, first_target, CASE WHEN n_pairs = 1 THEN 'auto' ELSE 'conflict' END AS decision, CASE WHEN n_evidence >= 3 THEN 'high' WHEN n_evidence = 2 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT source, count(DISTINCT (target, category)) AS n_pairs, count(DISTINCT chunk) AS n_evidence, min(target) AS first_target FROM {OBSERVED} GROUP BY source)")
 def merge_proposals(spark, sf):
     d = _docs(spark, sf).select(F.col("doc_id").alias("chunk"), "source", F.col("lang").alias("target"), F.when(F.col("n_chars") > 1500, "long").otherwise("short").alias("category"))
     return incremental.proposals(d)
@@ -409,6 +462,12 @@ def chunk_pack(spark, sf):
     return blocks.chunks(_docs(spark, sf), target=1500)
 
 
+@query("SELECT doc_id, sha256(text) AS restored_sha256 FROM documents")
+def protect_restore(spark, sf):
+    """Opaque spans become tokens and come back: every text is whole again."""
+    return blocks.protected(_docs(spark, sf)).select("doc_id", F.sha2("restored", 256).alias("restored_sha256"))
+
+
 @query("SELECT doc_id, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM " + LINES + " WHERE trim(line) <> '' GROUP BY doc_id")
 def packed_lines(spark, sf):
     """Packing keeps every line that isn't blank, in whichever chunk."""
