@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import decontaminate, jaccard, language, licenses, mixing, neighbours, repeats, secrets, token_store, toxicity
+from .sql import ORACLE_SQL as ORACLE_SQL
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,4 +17,3 @@ QUERIES = {
     "op9_remove_repeats": repeats.op9_remove_repeats,
     "op10_license_scan": licenses.op10_license_scan,
 }
-ORACLE_SQL: dict[str, str] = {}
