@@ -115,6 +115,18 @@ def test_mix(spark):
     assert mixing.take(df).count() == got["copies"].sum() and mixing.mix(df.where("false")).count() == 0
 
 
+def test_language_sample(spark):
+    """The ids of the smallest prints of each language, as one window over all its rows gives them."""
+    rows = [(k % 700, "ab"[k % 700 % 3 > 0]) for k in range(900)] + [(-1, "c")]
+    known = spark.createDataFrame(rows, "doc_id long, lang string")
+    prints = known.selectExpr("lang", "xxhash64(doc_id) AS p", "doc_id").collect()
+    for sample in (1, 7, 250, 2000):
+        want = {(r.doc_id, lang) for lang in "abc" for r in sorted((x for x in prints if x.lang == lang), key=lambda r: (r.p, r.doc_id))[:sample]}
+        got = [(r.doc_id, r.lang) for r in language.sampled(known, sample).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert language.sampled(known.where("false"), 5).count() == 0
+
+
 def test_previous_factors():
     """Lengths down to the sizes that are ranked, against every earlier place; strings end with their text."""
     rng = np.random.default_rng(2)

@@ -20,6 +20,8 @@ from .symbols import BITS, OTHER, SPACE, streams
 
 #: The bound of the labelled sample: texts of every language, chosen by a hash of their id.
 SAMPLE = 1000
+#: Ranges of prints that the sample is cut from, as a power of two.
+PART_BITS = 16
 UNIT_WORDS, STEPS, UNKNOWN = 3, 12, "und"
 SIZE = 1 << 3 * BITS
 PAD = 3
@@ -135,11 +137,25 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     return [model.langs[b] if ok else UNKNOWN for b, ok in zip(best, found, strict=True)], np.minimum(score, 1), shares
 
 
+def sampled(known: DataFrame, sample: int) -> DataFrame:
+    """The distinct doc_id and lang of the `sample` rows of each language with the smallest prints of their ids.
+
+    Prints are counted in 1 << PART_BITS ranges first, so that only the ranges up to the sample's end are
+    ranked, however many rows a language has. Repeated rows count as often; no rows give none.
+    """
+    place = F.xxhash64("doc_id")
+    known = known.withColumn("_part", F.shiftright(place, 64 - PART_BITS))
+    in_order = Window.partitionBy("lang").orderBy("_part")
+    parts = known.groupBy("lang", "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(in_order) - F.col("_n"))
+    cuts = parts.where(F.col("_before") < sample).groupBy("lang").agg(F.max("_part").alias("_cut"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
+    return known.join(cuts, "lang").where("_part <= _cut").withColumn("_rank", rank).where(F.col("_rank") <= sample).select("doc_id", "lang").distinct()
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from at most `sample` ids of each language outside the held-out fold; only counts reach the driver."""
     known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.withColumn("_rank", rank).where(F.col("_rank") <= sample).select("doc_id", "lang").distinct()
+    ids = sampled(known, sample)
     rows = docs.select("doc_id", "lang", "text").where("text IS NOT NULL").join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
 
     def count(b: dict) -> dict:
