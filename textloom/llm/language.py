@@ -21,7 +21,7 @@ from .symbols import BITS, OTHER, SPACE, streams
 #: The bound of the labelled sample: texts of every language, chosen by a hash of their id.
 SAMPLE = 1000
 #: Ranges of prints that the sample is cut from, as a power of two.
-PART_BITS = 16
+PART_BITS = 12
 UNIT_WORDS, STEPS, UNKNOWN = 3, 12, "und"
 SIZE = 1 << 3 * BITS
 PAD = 3
@@ -148,8 +148,10 @@ def sampled(known: DataFrame, sample: int) -> DataFrame:
     in_order = Window.partitionBy("lang").orderBy("_part")
     parts = known.groupBy("lang", "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(in_order) - F.col("_n"))
     cuts = parts.where(F.col("_before") < sample).groupBy("lang").agg(F.max("_part").alias("_cut"))
+    # a value for each language, which a model holds whole anyway
+    cut_of = cuts.agg(F.map_from_entries(F.collect_list(F.struct("lang", "_cut")))).scalar()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
-    return known.join(cuts, "lang").where("_part <= _cut").withColumn("_rank", rank).where(F.col("_rank") <= sample).select("doc_id", "lang").distinct()
+    return known.where(F.col("_part") <= F.try_element_at(cut_of, F.col("lang"))).withColumn("_rank", rank).where(F.col("_rank") <= sample).select("doc_id", "lang").distinct()
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
