@@ -167,3 +167,31 @@ def test_protected(spark):
     texts = [(1, "a $x$ b [@k1; @k2] and $$y\n$$ \\(z\\)"), (2, None), (3, "")]
     rows = {r.doc_id: r for r in blocks.protected(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert all(rows[k].restored == t for k, t in texts) and len(rows[1].spans) == 4 and "$" not in rows[1].text
+
+
+def test_texts(spark):
+    from pyspark.sql import functions as F
+
+    from textloom.functions import text as T
+
+    one = lambda f, *rows: [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k long, t string").orderBy("k").select(f(F.col("t"))).collect()]
+    assert one(T.strip_comments, r"a \% b % c" + "\n% d\ne", r"x \\% y", "a\\begin{comment}b\n\\end{comment}c", None, "") == [r"a \% b " + "\n\ne", "x \\\\", "ac", None, ""]
+    keys = one(T.natural_key, "fig" + "9" * 30, "fig1" + "0" * 30, "fig010", "fig9", "Fig10")
+    assert keys[3] < keys[2] == keys[4] < keys[0] < keys[1]
+    assert spark.createDataFrame([(1, None, 'q"é')], "b long, c string, a string").select(T.canonical_json(["b", "c", "a"])).first()[0] == '{"a":"q\\"é","b":1,"c":null}'
+    assert one(T.strip_comments, "x" * 200_000 + "%" + "y" * 200_000)[0] == "x" * 200_000
+
+
+def test_readers(spark, tmp_path):
+    """A torn line of JSON is dropped; prints are of the bytes; comments of a config file are skipped."""
+    import hashlib
+
+    from textloom.sources import tables
+
+    (tmp_path / "log.jsonl").write_text('{"lang": "ko", "chunks": ["c1"], "failed": []}\n{"lang": "de", "chu\n')
+    assert [(r.lang, r.chunks) for r in tables.json_lines(spark, str(tmp_path / "log.jsonl")).collect()] == [("ko", ["c1"])]
+    (tmp_path / "a.bin").write_bytes(b"\x00\xffx")
+    got = tables.source_fingerprint(spark, str(tmp_path / "a.bin")).first()
+    assert (got.sha256, got.length) == (hashlib.sha256(b"\x00\xffx").hexdigest(), 3)
+    (tmp_path / "c.conf").write_text("# a=b\n\nlang = ko\nx=1=2\n")
+    assert sorted(map(tuple, tables.config(spark, str(tmp_path / "c.conf")).collect())) == [("lang", "ko"), ("x", "1=2")]

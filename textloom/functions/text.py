@@ -66,8 +66,21 @@ def count_matches(t: Column, pattern: str) -> Column:
 
 
 def natural_key(t: Column) -> Column:
-    """Sorts digits by value: each run is padded."""
-    return F.array_join(F.transform(F.regexp_extract_all(t, F.lit(r"(\d+|\D+)"), 1), lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 20, "0")).otherwise(F.lower(p))), "")
+    """Sorts digits by value: the number of digits stands before each run, without leading zeros, of any length."""
+    solid = lambda p: F.regexp_replace(p, "^0+", "")
+    sized = lambda p: F.concat(F.lpad(F.length(solid(p)).cast("string"), 10, "0"), solid(p))
+    return F.array_join(F.transform(F.regexp_extract_all(t, F.lit(r"([0-9]+|[^0-9]+)"), 1), lambda p: F.when(p.rlike("^[0-9]+$"), sized(p)).otherwise(F.lower(p))), "")
+
+
+def strip_comments(t: Column) -> Column:
+    r"""LaTeX without `comment` environments and without what follows a `%` that no backslash escapes, line by line."""
+    bare = F.regexp_replace(t, r"(?s)\\begin\{comment\}.*?\\end\{comment\}", "")
+    return F.regexp_replace(bare, r"(?md)^((?:[^\\%\n]++|\\[^\n])*+)%[^\n]*", "$1")
+
+
+def canonical_json(row: list[str]) -> Column:
+    """The columns as JSON: keys sorted, nulls kept, no white space, characters as they are."""
+    return F.to_json(F.struct(*sorted(row)), {"ignoreNullFields": "false"})
 
 
 def roman(n: Column) -> Column:

@@ -68,6 +68,25 @@ def flatten_hash(spark, sf):
     return _docs(spark, sf).select("doc_id", F.sha2(T.flatten_space(F.col("text")), 256).alias("flat_sha256"))
 
 
+@query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text || chr(13) || chr(10) || '# x' || chr(13) || chr(10), '\r\n?', chr(10), 'g'), '(?m)^(#+ )', '\\\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS clean_sha256 FROM documents")
+def clean_lines(spark, sf):
+    """One kind of line end, headings escaped, no run of blank lines; every text gets a heading after a foreign line end."""
+    text = F.concat("text", F.lit("\r\n# x\r\n"))
+    return _docs(spark, sf).select("doc_id", F.sha2(T.collapse_blank_runs(T.escape_hashes(T.normalize_newlines(text))), 256).alias("clean_sha256"))
+
+
+@query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(t, '(?s)\\begin\{comment\}.*?\\end\{comment\}', '', 'g'), '(?m)^((?:[^\\%\n]|\\[^\n])*)%[^\n]*', '\1', 'g')) AS bare_sha256 FROM (SELECT doc_id, text || ' 5\% of it % gone' || chr(10) || '\begin{comment}' || text || '\end{comment}' AS t FROM documents)")
+def comment_strip(spark, sf):
+    """Every text gets an escaped sign, a comment and a comment environment, for few hold any."""
+    text = F.concat("text", F.lit(" 5\\% of it % gone\n\\begin{comment}"), "text", F.lit("\\end{comment}"))
+    return _docs(spark, sf).select("doc_id", F.sha2(T.strip_comments(text), 256).alias("bare_sha256"))
+
+
+@query("SELECT doc_id, sha256(CAST(to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source, 'text': text}) AS VARCHAR)) AS json_sha256 FROM documents")
+def canonical_hash(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.sha2(T.canonical_json(["text", "source", "doc_id", "lang", "n_chars"]), 256).alias("json_sha256"))
+
+
 @query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '([\p{L}])-\n([\p{Ll}])', '\1\2', 'g'), '([^.!?:;\n])\n([\p{Ll}(])', '\1 \2', 'g')) AS whole_sha256 FROM documents")
 def hyphen_unwrap(spark, sf):
     return _docs(spark, sf).select("doc_id", F.sha2(T.rejoin_hyphens(F.col("text")), 256).alias("whole_sha256"))
