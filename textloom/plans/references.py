@@ -9,7 +9,7 @@ from textloom.functions import text as T
 from textloom.operators import corpus, references
 from textloom.sources.tables import lines, table
 
-from .catalogue import LINES, _docs, query
+from .catalogue import LINES, SPACES, _docs, query
 
 HEADINGS = f"(SELECT doc_id, line_no, CASE WHEN length(line) % 5 = 0 THEN 1 WHEN length(line) % 5 < 3 THEN 2 ELSE 3 END AS level FROM {LINES})"
 
@@ -95,10 +95,15 @@ def term_drift(spark, sf):
     return _docs(spark, sf).select(F.col("source").alias("book"), "doc_id", F.col("lang").alias("a")).withColumn("b", F.lead("a").over(w)).where("a <> b")
 
 
-@query("SELECT source AS book, bool_and(same) AS passthrough FROM (SELECT source, text = output AS same, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM (SELECT doc_id, source, text, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS output FROM documents)) WHERE k <= 3 GROUP BY source")
+_FLAT = f"trim(regexp_replace(text, '{SPACES}', ' ', 'g'))"
+
+
+@query(f"SELECT source AS book, bool_and(same) AS passthrough FROM (SELECT source, {_FLAT} = output AS same, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM (SELECT doc_id, source, text, lead({_FLAT}) OVER (PARTITION BY source ORDER BY doc_id) AS output FROM documents)) WHERE k <= 3 GROUP BY source")
 def passthrough(spark, sf):
+    """White space doesn't matter; prints of the texts meet in the window, not the texts."""
     w = Window.partitionBy("source").orderBy("doc_id")
-    rows = _docs(spark, sf).withColumn("same", F.col("text") == F.lead("text").over(w)).withColumn("k", F.row_number().over(w)).where("k <= 3")
+    rows = _docs(spark, sf).select("source", "doc_id", F.sha2(T.flatten_space(F.col("text")), 256).alias("print"))
+    rows = rows.withColumn("same", F.col("print") == F.lead("print").over(w)).withColumn("k", F.row_number().over(w)).where("k <= 3")
     return rows.groupBy(F.col("source").alias("book")).agg(F.bool_and("same").alias("passthrough"))
 
 
