@@ -81,7 +81,8 @@ def select_terms(texts: DataFrame, local: DataFrame, terms_: DataFrame, keys: li
     term = F.struct((-F.coalesce("_freq", F.lit(0))).alias("less"), "source", "id").alias("term")
     every = freq.select("id", term)
     leaders = every.orderBy("term").limit(top + most).agg(F.sort_array(F.collect_list("term"))).scalar()
-    own = local.join(every, "id").groupBy(*keys).agg(F.sort_array(F.collect_list("term")).alias("own"))
+    small = terms_.limit(BROADCAST_FORMS + 1).count() <= BROADCAST_FORMS
+    own = local.join(F.broadcast(every) if small else every, "id").groupBy(*keys).agg(F.sort_array(F.collect_list("term")).alias("own"))
     rows = texts.select(*keys).join(own, keys, "left").withColumn("own", F.coalesce("own", F.array())).withColumn("all", leaders)
     rest = F.slice(F.filter("all", lambda x: ~F.exists("own", lambda y: y["id"] == x["id"])), 1, top)
     mark = lambda c, v: F.transform(c, lambda x: F.struct(x["id"].alias("id"), F.lit(v).alias("own"), (-x["less"]).alias("freq")))
