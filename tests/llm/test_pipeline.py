@@ -91,3 +91,32 @@ def test_stages_on_any_columns(spark, sf):
     kept = P.drop_near_copies(spark, wide, sf)
     assert kept.where("text IS NULL").count() == 2
     assert kept.where("doc_id IS NOT NULL AND trim(text) <> ''").groupBy("doc_id").count().where("count > 1").count() == 0
+
+
+def test_batches_are_small_whatever_the_length_of_texts(spark):
+    """Rows of a megabyte came in one Arrow batch of 40 MB, and more rows in a larger one."""
+    from pyspark.sql import functions as F
+
+    from textloom.llm.common import BATCH_BYTES, map_batches
+
+    docs = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('abcdefghij', 100000)").alias("text"))
+    got = map_batches(docs, lambda b: {"rows": [len(b["text"])], "bytes": [b["text"].nbytes]}, "rows long, bytes long").collect()
+    assert sum(r.rows for r in got) == 40 and max(r.bytes for r in got) <= BATCH_BYTES + 1_100_000
+
+
+def test_workers_give_memory_back(spark):
+    """A worker that is idle after a task kept what the task had at most, which counts in the next stage."""
+    import os
+    import re
+
+    from textloom.llm import common
+
+    def work(b):
+        held = [np.ones(100_000, np.uint8) for _ in range(3000)]
+        np.pinned = held[-1]  # else the C library may shrink its heap by itself
+        return {"pid": [os.getpid()], "size": [sum(map(len, held))]}
+
+    row = common.map_batches(spark.range(0, 1, 1, 1), work, "pid long, size long").first()
+    with open(f"/proc/{row.pid}/smaps_rollup") as f:
+        now = int(re.search(r"\nPss_Anon:\s+(\d+)", f.read())[1]) / 1024
+    assert row.size == 300_000_000 and now < 200, now

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, cut, discard, map_batches, table, texts_of
+from .common import NULL_ID, cut, discard, map_batches, release, released, table, texts_of
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -193,7 +193,7 @@ def signed_rows(rows: DataFrame, words: int, t: Threshold | None = None) -> Data
     schema = rows.select(columns).schema
     for name in ("n", "s1", "s2"):
         schema = schema.add(name, "long")
-    return rows.mapInArrow(run, schema.add("sk", "binary") if t else schema)
+    return rows.mapInArrow(released(run), schema.add("sk", "binary") if t else schema)
 
 
 def regions(docs: DataFrame, words: int, t: Threshold, largest: int) -> DataFrame:
@@ -227,7 +227,7 @@ def regions(docs: DataFrame, words: int, t: Threshold, largest: int) -> DataFram
                     alone = pa.array(np.diff(ends) == 0)
                     yield pa.RecordBatch.from_arrays([pa.array(key[start]), pa.array(s1[start]), pa.ListArray.from_arrays(pa.array(ends), pa.array(s1[~first]), mask=alone)], ["key", "s1", "others"])
 
-    return _read(docs).select("_text").mapInArrow(run, "key long, s1 long, others array<long>")
+    return _read(docs).select("_text").mapInArrow(released(run), "key long, s1 long, others array<long>")
 
 
 def _places(column="id"):
@@ -274,7 +274,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, prints: DataFrame, words: int) -> D
                     values = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in sets])], pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in s], pa.int64()), pa.array([x[1] for x in s], pa.int64()), values], ["s1", "s2", "set"])
 
-    return _read(docs).select("_text", *(c.alias(n) for c, n in zip(_places(), "pq", strict=True))).mapInArrow(run, "s1 long, s2 long, set array<long>")
+    return _read(docs).select("_text", *(c.alias(n) for c, n in zip(_places(), "pq", strict=True))).mapInArrow(released(run), "s1 long, s2 long, set array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
@@ -626,7 +626,13 @@ def _proposals(state: DataFrame, tried: DataFrame, t: Threshold, budget: int) ->
         a, b = ([x[j] for x in task.pairs] + [None] * m for j in range(2))
         return pa.table([pa.array(x, pa.int64()) for x in ([bucket] * (k + m), [None] * k + open_, a, b)], ["bucket", "key", "a", "b"])
 
-    return rows.groupBy("bucket").applyInArrow(run, "bucket long, key long, a long, b long")
+    def run_released(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            release()
+
+    return rows.groupBy("bucket").applyInArrow(run_released, "bucket long, key long, a long, b long")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
