@@ -1,7 +1,10 @@
-"""Readers: tables, lines of documents, pairs of turns, JSON lines whose torn rows are skipped."""
+"""Readers: tables, lines of documents, pairs of turns, JSON lines whose torn rows are skipped; and the folder of tables that queries write."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,3 +43,34 @@ def config(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).where("value LIKE '%=%' AND NOT ltrim(value) LIKE '#%'")
     at = F.instr("value", "=")
     return rows.select(F.trim(F.substring("value", F.lit(1), at - 1)).alias("key"), F.trim(F.substring("value", at + 1, F.length("value"))).alias("value"))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without it gets one of its own."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = f"file://{tempfile.gettempdir()}/textloom-{spark.sparkContext.applicationId}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, files = _at(spark, path)
+    files.delete(at, True)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at, files = _at(spark, path)
+    return files.getFileStatus(at).isDirectory()
+
+
+def _at(spark: SparkSession, path: str):
+    """The path and its file system, as Spark's readers see them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -5,19 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.sources.tables import is_folder, new_path, remove
+
 
 def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over all that is there and returns the table that it left."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over all that is there and returns the table that it left.
+
+    Executors write the table to the shared folder, every batch by itself, so that none of its rows reach the
+    driver; in mode complete the last batch is the table. The state lies there too while the stream runs.
+    """
+    spark = stream.sparkSession
+    path = new_path(spark, name)
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/{batch}")
+
+    state = new_path(spark, f"{name}-state")
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()
+        remove(spark, state)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as a stream, whether it is one file or a folder of them."""
     path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if not is_folder(spark, path):
+        path, _, name = path.rpartition("/")
+        reader = reader.option("pathGlobFilter", name)
+    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(stream: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
