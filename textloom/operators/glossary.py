@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 TOP, MOST = 20, 50
 #: Forms up to which a glossary is broadcast; forms that aren't plain words, up to which each text is searched for every one.
 BROADCAST_FORMS, PATTERN_FORMS = 200_000, 10_000
+#: Ids of several rows up to which they are broadcast; bytes of texts that are read at a time, or one longer text.
+BROADCAST_IDS, PIECE = 200_000, 500_000
 WORD = r"[\p{L}\p{N}_]+"
 TERM = "id string, source string, target string, category string, aliases array<string>"
 #: An invented glossary for the queries; words of the test tables.
@@ -117,3 +123,63 @@ def surface_violations(terms_: DataFrame) -> DataFrame:
 
 def confidence(n: Column) -> Column:
     return F.when(n >= 3, "high").when(n == 2, "medium").otherwise("low")
+
+
+#: Every byte of UTF-8 as a lower-case ASCII letter, or 0.
+_LETTERS = np.zeros(256, np.uint8)
+_LETTERS[65:91] = _LETTERS[97:123] = np.arange(97, 123)
+
+
+def _new_words(texts: pa.Array) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+    """Row, word and place of each word (ASCII letters, in lower case) where it stands first in its row, by pieces of the rows."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, "right")) - 1)
+        at = offsets[i : j + 1] - offsets[i]
+        low = _LETTERS[data[offsets[i] : offsets[j]]]
+        letter = low > 0
+        begins = letter.copy()
+        begins[1:] &= ~letter[:-1]
+        heads = at[:-1][at[:-1] < len(low)]
+        begins[heads] = letter[heads]
+        solid, bounds = low[letter], np.flatnonzero(begins[letter])
+        if n := len(bounds):
+            words = pa.StringArray.from_buffers(n, pa.py_buffer(np.append(bounds, len(solid)).astype(np.int32)), pa.py_buffer(solid))
+            firsts = np.searchsorted(np.flatnonzero(begins), at)
+            row = np.repeat(np.arange(j - i), np.diff(firsts))
+            codes = words.dictionary_encode()
+            # numbers are given in order of first appearance: the first of its row is the one that gets a new number
+            pairs = pa.array(row * len(codes.dictionary) + codes.indices.to_numpy()).dictionary_encode().indices.to_numpy()
+            new = np.flatnonzero(np.diff(np.maximum.accumulate(pairs), prepend=-1))
+            yield pa.array(row[new] + i), words.take(pa.array(new)), pa.array(new - firsts[row[new]])
+        i = j
+
+
+def first_uses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, gloss and first_place: where each word (ASCII letters, in lower case) stands first among the words of a text.
+
+    Each row's words are made distinct by themselves, so that nothing is shuffled but the ids, to find those
+    of several rows (null is one id): only their words are grouped, with the least place of all rows; over
+    BROADCAST_IDS of such ids, those of all rows are. Null and empty texts have no words.
+    """
+    spec = StructType([docs.schema[key]]).add("gloss", StringType()).add("first_place", LongType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, word, place in _new_words(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(row), word, place], names=spec.names)
+
+    words = lambda d: d.select(key, text).mapInArrow(run, spec)
+    merged = lambda d: words(d).groupBy(key, "gloss").agg(F.min("first_place").alias("first_place"))
+    repeated = docs.groupBy(F.col(key).alias("_id")).count().where("count > 1").select("_id")
+    n = repeated.limit(BROADCAST_IDS + 1).count()
+    if n == 0:
+        return words(docs)
+    if n > BROADCAST_IDS:
+        return merged(docs)
+    among = lambda how: docs.join(F.broadcast(repeated), F.col(key).eqNullSafe(F.col("_id")), how)
+    return words(among("left_anti")).unionByName(merged(among("left_semi")))

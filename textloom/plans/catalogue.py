@@ -364,8 +364,7 @@ def surface_violations(spark, sf):
 
 @query("SELECT doc_id, g AS gloss, CAST(k AS BIGINT) AS first_place FROM (SELECT doc_id, g, min(k) AS k FROM (SELECT doc_id, unnest(x) AS g, unnest(range(len(x))) AS k FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda z: lower(z)) AS x FROM documents)) GROUP BY doc_id, g)")
 def gloss_first_use(spark, sf):
-    rows = _docs(spark, sf).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).alias("k", "g"))
-    return rows.groupBy("doc_id", F.lower("g").alias("gloss")).agg(F.min("k").cast("long").alias("first_place"))
+    return glossary.first_uses(_docs(spark, sf))
 
 
 # --- entities, manifests and plans
